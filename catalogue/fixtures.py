@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogue.base import documents, sql_token_count, table
+from clauseloom.functions.vectors import unit
 
 VERSION_SIZE = 50
 EDITIONS = 3
@@ -125,9 +126,8 @@ def edition_sides(spark: SparkSession, folder: str) -> DataFrame:
         _version().alias("comparison_id"), F.explode(F.array(
             F.struct(F.lit(1).alias("side"), number.alias("clause_number"),
                      F.col("text").alias("content"), (d % 5 != 4).alias("present")),
-            F.struct(F.lit(2).alias("side"),
-                     F.when(kind == 7, F.concat(F.lit("9."), number)).otherwise(number),
-                     _edited(F.col("text"), kind).alias("content"), (d % 5 != 3).alias("present")),
+            F.struct(F.lit(2).alias("side"), F.when(kind == 7, F.concat(F.lit("9."), number)).otherwise(number)
+                     .alias("clause_number"), _edited(F.col("text"), kind).alias("content"), (d % 5 != 3).alias("present"))
         )).alias("s"), o.cast("int").alias("ordinal"), d.alias("id"))
     return base.filter("s.present").select(
         "comparison_id", "s.side", "s.clause_number", "s.content", "ordinal", "id",
@@ -239,28 +239,44 @@ numbered AS MATERIALIZED (SELECT doc_id, i AS pos, CASE
 
 # -- vectors -----------------------------------------------------------------
 
-VECTOR_GROUP = 100
+VECTOR_GROUP = 50
 
 
 def vector_sides(spark: SparkSession, folder: str) -> DataFrame:
-    """Even vectors against odd ones, a hundred to a comparison, texts from the documents."""
+    """Fifty vectors to a comparison against mixtures of each with its successor.
+
+    A mixture lies close to two of the originals, so the matching has to choose.
+    """
     v = F.col("vec_id")
-    vectors = table(spark, folder, "embeddings", "vec_id").select(
+    own = table(spark, folder, "embeddings", "vec_id").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    following = own.select(F.when(v % VECTOR_GROUP == 0, v + VECTOR_GROUP - 1).otherwise(v - 1)
+                           .alias("vec_id"), F.col("vector").alias("next"))
+    mixed = F.zip_with("vector", F.coalesce("next", "vector"),
+                       lambda a, b: a * F.lit(0.8) + b * F.lit(0.6))
     texts = spark.read.parquet(f"{folder}/documents.parquet").select(
-        F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    sized = vectors.join(texts, "vec_id", "left").select(
-        F.floor(v / VECTOR_GROUP).alias("comparison_id"), (v % 2 + 1).cast("int").alias("side"),
-        F.floor((v % VECTOR_GROUP) / 2).cast("int").alias("idx"), "content", "vector",
-        F.lit(VECTOR_GROUP // 2).alias("version_size"))
-    return sized
+        F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("content"))
+    both = own.join(following, "vec_id", "left").join(texts, "vec_id", "left").select(
+        F.floor(v / VECTOR_GROUP).alias("comparison_id"),
+        (v % VECTOR_GROUP).cast("int").alias("idx"),
+        F.coalesce("content", F.lit("")).alias("content"), F.explode(F.array(
+            F.struct(F.lit(1).alias("side"), F.col("vector").alias("vector")),
+            F.struct(F.lit(2).alias("side"), unit(mixed).alias("vector")))).alias("s"))
+    return both.select("comparison_id", "s.side", "idx", "content", "s.vector",
+                       F.lit(VECTOR_GROUP).alias("version_size"))
 
 
 SQL_VECTORS = f"""
-vectors AS MATERIALIZED (SELECT vec_id // {VECTOR_GROUP} AS comparison_id, vec_id % 2 + 1 AS side,
-    CAST((vec_id % {VECTOR_GROUP}) // 2 AS INTEGER) AS idx,
-    CAST(embedding AS DOUBLE[]) AS vector, coalesce(text, '') AS content
-  FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+own AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+mixed AS (SELECT a.vec_id, a.vector, list_transform(list_zip(a.vector, coalesce(b.vector, a.vector)),
+    lambda p: p[1] * CAST(0.8 AS DOUBLE) + p[2] * CAST(0.6 AS DOUBLE)) AS m
+  FROM own a LEFT JOIN own b ON b.vec_id = CASE WHEN a.vec_id % {VECTOR_GROUP} = {VECTOR_GROUP} - 1
+    THEN a.vec_id - {VECTOR_GROUP} + 1 ELSE a.vec_id + 1 END),
+vectors AS MATERIALIZED (SELECT vec_id // {VECTOR_GROUP} AS comparison_id, side,
+    CAST(vec_id % {VECTOR_GROUP} AS INTEGER) AS idx, v AS vector, coalesce(text, '') AS content
+  FROM (SELECT vec_id, 1 AS side, vector AS v FROM mixed UNION ALL
+    SELECT vec_id, 2, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) FROM mixed)
+  LEFT JOIN documents ON doc_id = vec_id),
 cosines AS (SELECT a.comparison_id, a.idx AS index_v1, b.idx AS index_v2,
     round(list_inner_product(a.vector, b.vector), 9) AS cosine
   FROM vectors a JOIN vectors b ON a.comparison_id = b.comparison_id AND a.side = 1 AND b.side = 2),

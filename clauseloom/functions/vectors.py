@@ -1,4 +1,8 @@
-"""Vector columns: ``array<double>`` in, ``array<double>`` or a double out."""
+"""Vector columns: an array of numbers in, ``array<double>`` or a double out.
+
+Arguments are bound with ``let`` first: an encoder's vector is an expensive
+expression, and naming it twice would evaluate it twice.
+"""
 
 from __future__ import annotations
 
@@ -14,15 +18,19 @@ def dot(left: Column, right: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Scaled to length one; a zero vector stays zero."""
-    return let(F.sqrt(dot(vector, vector)), lambda norm: F.when(
-        norm > 0, F.transform(vector, lambda x: x.cast("double") / norm))
-        .otherwise(F.transform(vector, lambda x: x.cast("double"))))
+    def scaled(v: Column) -> Column:
+        return let(F.sqrt(dot(v, v)), lambda norm: F.when(norm == 0, v).otherwise(
+            F.transform(v, lambda x: x / norm)))
+
+    return let(F.transform(vector, lambda x: x.cast("double")), scaled)
 
 
 def pooled(vectors: Column) -> Column:
     """Sum of an array of vectors, scaled to length one."""
-    first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double"))
-    total = F.aggregate(
-        F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), first,
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")))
-    return unit(total)
+    def total(parts: Column) -> Column:
+        first = F.transform(F.get(parts, F.lit(0)), lambda x: x.cast("double"))
+        return unit(F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), first,
+            lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double"))))
+
+    return let(vectors, total)

@@ -115,10 +115,11 @@ def nearest(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK) -> D
         "_own", F.floor(F.col("idx") / block).cast("int"))
 
     def spread_over(side: int, own: str, other: str, last: str) -> DataFrame:
+        # every column is renamed, since both sides descend from one frame
         return (cells.filter((F.col("side") == side) & F.col(last).isNotNull())
-                .select("comparison_id", F.col("_own").alias(own),
+                .select(F.col("comparison_id").alias("comparison_id"), F.col("_own").alias(own),
                         F.explode(F.sequence(F.lit(0), F.col(last))).alias(other),
-                        "idx", "vector"))
+                        F.col("idx").alias("idx"), F.col("vector").alias("vector")))
 
     cell = ["comparison_id", "left_block", "right_block"]
     left = spread_over(1, "left_block", "right_block", "_last_right").select(*cell, "idx", "vector")

@@ -10,8 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clauseloom import fixed
-from clauseloom.functions.text import chunks, tokens
+from clauseloom.functions.text import chunks, let, tokens
 from clauseloom.functions.vectors import dot, pooled, unit
 
 ColumnEncoder = Callable[[Column], Column]
@@ -20,11 +19,9 @@ FrameEncoder = Callable[[DataFrame], DataFrame]
 
 def letter_profile(text: Column) -> Column:
     """Unit vector of letter counts: a model-free stand-in that stays in the JVM."""
-    low = F.lower(text)
-    counts = F.array(*[
+    return let(F.lower(text), lambda low: unit(F.array(*[
         (F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit("")))).cast("double")
-        for letter in "abcdefghijklmnopqrstuvwxyz"])
-    return unit(counts)
+        for letter in "abcdefghijklmnopqrstuvwxyz"])))
 
 
 def hashed_terms(width: int = 1024) -> FrameEncoder:
@@ -86,6 +83,3 @@ def with_vector(frame: DataFrame, keys: list[str], text: Column,
 def cosine(left: Column, right: Column) -> Column:
     """Cosine of unit vectors."""
     return dot(left, right)
-
-
-CHUNK_LIMIT = fixed.CHUNKS_PER_CLAUSE
