@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.functions import text as tx
-from clauseloom.session import spread
+from clauseloom.session import checkpoint_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,11 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(frame.select(*columns) if columns else frame, "doc_id")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # -- SQL fragments -----------------------------------------------------------
 
 SPACE = tx.SPACE_CLASS
@@ -95,8 +101,8 @@ def sql_describe(source: str, value: str, by: str) -> str:
     """EV-style summary of a column, as a SELECT."""
     keys = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    return f"""SELECT {keys}count({value}) AS count, round(avg({value}), 4) AS mean,
-      round(min({value}), 4) AS min, round(quantile_cont({value}, 0.25), 4) AS p25,
-      round(quantile_cont({value}, 0.5), 4) AS median,
-      round(quantile_cont({value}, 0.75), 4) AS p75, round(max({value}), 4) AS max
+    return f"""SELECT {keys}count({value}) AS count, round(avg({value}) + 1e-12, 4) AS mean,
+      round(min({value}), 4) AS min, round(quantile_cont({value}, 0.25) + 1e-12, 4) AS p25,
+      round(quantile_cont({value}, 0.5) + 1e-12, 4) AS median,
+      round(quantile_cont({value}, 0.75) + 1e-12, 4) AS p75, round(max({value}), 4) AS max
     FROM {source} WHERE {value} IS NOT NULL {group}"""

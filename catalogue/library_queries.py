@@ -1,10 +1,8 @@
 """Sources, the library's reads and changes, and search."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from catalogue.base import documents, query, sql_strip, table
+from catalogue.base import documents, query, scratch, sql_strip
 from catalogue.fixtures import (
     SQL_COUNTRY_NAME, SQL_LIBRARY, library_clauses, library_documents, library_versions,
 )
@@ -113,19 +111,18 @@ def page_text(spark, folder):
 
 @query("read_texts", "SELECT source AS key, CAST(count(*) AS BIGINT) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY source")
 def read_texts(spark, folder):
-    """Texts written out as files and scanned back, one row per file."""
-    from clauseloom.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(spark)}/texts-{abs(hash(folder)) % 10**8}"
-    docs = documents(spark, folder, "doc_id", "text", "source")
-    docs.select(F.col("source"), F.concat_ws("\x1e", F.col("doc_id"), F.replace(
-        F.col("text"), F.lit("\n"), F.lit("\x1f"))).alias("value")).write.mode(
-        "overwrite").partitionBy("source").text(path)
-    back = spark.read.text(path, wholetext=True).select("source", F.explode(F.split(
-        F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("line"))
-    return back.groupBy(F.col("source").alias("key")).agg(
+    """Texts written out as files of at most fifty documents, scanned back whole."""
+    path = scratch(spark, "texts")
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit("\x1f"))
+    documents(spark, folder, "doc_id", "text", "source").select(
+        F.concat_ws("\x1e", "source", flat).alias("value")).write.option(
+        "maxRecordsPerFile", 50).text(path)
+    back = corpus.read_texts(spark, path).select("key", F.explode(F.split(
+        F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("line"))
+    fields = F.split("line", "\x1e")
+    return back.groupBy(F.get(fields, F.lit(0)).alias("key")).agg(
         F.count("*").alias("documents"),
-        F.sum(F.length(F.get(F.split("line", "\x1e"), F.lit(1)))).alias("characters"))
+        F.sum(F.length(F.get(fields, F.lit(1)))).alias("characters"))
 
 
 # -- reads -------------------------------------------------------------------
@@ -308,11 +305,8 @@ UNION ALL SELECT version_id + 1000000, count(*), CAST(sum(length(content)) AS BI
 WHERE version_id % 4 = 0 AND version_id % 7 <> 6 AND ordinal % 2 = 0 GROUP BY 1""")
 def library_store(spark, folder):
     """Two batches and a deletion through the append-only store, then its current clauses."""
-    from clauseloom.session import checkpoint_dir
-
     docs, versions, clauses = _library(spark, folder)
-    store = library.LibraryStore(spark, tempfile.mkdtemp(
-        prefix="library-", dir=checkpoint_dir(spark).removeprefix("file:")))
+    store = library.LibraryStore(spark, scratch(spark, "library"))
     store.store(docs, versions, clauses, 1)
     again = versions.filter("id % 4 = 0").withColumn("id", F.col("id") + 1000000)
     store.store(docs, again, clauses.filter("version_id % 4 = 0 AND ordinal % 2 = 0").withColumn(

@@ -113,6 +113,11 @@ def matrix_scores(matrix: DataFrame, labels: list[str], *by: str) -> DataFrame:
         F.round(kappa, 4).alias("kappa"))
 
 
+def _four(value: Column) -> Column:
+    """Four places; a value between two of them goes up whatever its last bit."""
+    return F.round(value + F.lit(1e-12), 4)
+
+
 def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, min, quartiles and max of a score, per group.
 
@@ -123,11 +128,12 @@ def describe(rows: DataFrame, value: str, *by: str) -> DataFrame:
     v, n = F.col(value).cast("double"), F.col("n")
     quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), n)
     out = counted.groupBy(*by).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("count"), F.round(F.sum(v * n) / F.sum(n), 4).alias("mean"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"),
+        _four(F.sum(v * n) / F.sum(n)).alias("mean"),
         F.round(F.min(v), 4).alias("min"), quartiles.alias("_q"),
         F.round(F.max(v), 4).alias("max"))
     for place, name in enumerate(("p25", "median", "p75")):
-        out = out.withColumn(name, F.round(F.get("_q", F.lit(place)), 4))
+        out = out.withColumn(name, _four(F.get("_q", F.lit(place))))
     return out.select(*by, "count", "mean", "min", "p25", "median", "p75", "max")
 
 
