@@ -15,6 +15,7 @@ from catalogue.fixtures import (
 from clauseloom import fixed
 from clauseloom.functions import text as tx
 from clauseloom.operators import align, embed, metrics, register
+from clauseloom.session import cut
 from clauseloom.plans import (
     annotation, cross_country, evolution, localisation, perturbation, recovery,
 )
@@ -160,7 +161,8 @@ def _scoped(spark, folder):
         F.floor(F.col("doc_id") / 50).alias("comparison_id")).distinct()
     scope = ids.select("comparison_id", F.explode(F.array(F.lit("all"), F.lit("even"))).alias("r")) \
         .select("comparison_id", F.concat_ws(":", "comparison_id", "r").alias("set_id"))
-    return aligned_report(spark, folder), sets, scope
+    rows = cut(localisation.scored_rows(aligned_report(spark, folder)))
+    return rows, sets, scope
 
 
 def _localised(spark, folder):
@@ -482,7 +484,7 @@ def append_curve(spark, folder):
 # -- annotation --------------------------------------------------------------
 
 def _sample(spark, folder):
-    return annotation.draw(aligned_report(spark, folder), size=20)
+    return cut(annotation.draw(aligned_report(spark, folder), size=20))
 
 
 @query("annotation_quota", f"""WITH {SQL_REPORT},
@@ -492,7 +494,7 @@ SELECT comparison_id, least(20, CAST(sum(held) AS BIGINT)) AS drawn, CAST(sum(le
   true AS quotas_met FROM quotas GROUP BY 1""")
 def annotation_quota(spark, folder):
     """Sample sizes, and that every class has its quota."""
-    rows = aligned_report(spark, folder)
+    rows = cut(aligned_report(spark, folder).select("comparison_id", "row_index", "change_type"))
     held = rows.groupBy("comparison_id", "change_type").agg(F.count("*").alias("held"))
     drawn = annotation.draw(rows, size=20).groupBy("comparison_id", "change_type").agg(
         F.count("*").alias("n"))
@@ -538,13 +540,12 @@ def score_annotations(spark, folder):
 
 
 def _filled_sheets(spark, folder):
-    rows = aligned_report(spark, folder).withColumn("id", F.col("row_index"))
+    rows = cut(aligned_report(spark, folder).withColumn("id", F.col("row_index")))
     r = F.col("id")
     given = (F.when(r % 6 == 0, "").when(r % 5 == 0, " MINOR edit ")
              .otherwise(F.upper("change_type")))
-    sheet = annotation.sheet(rows).withColumn("_given", F.lit(None))
     flags = F.get(F.array(F.lit(""), F.lit("Yes"), F.lit("1"), F.lit("no ")), (r % 4).cast("int"))
-    filled = sheet.drop("_given").join(rows.select("comparison_id", "id", given.alias("_given")),
+    filled = annotation.sheet(rows).join(rows.select("comparison_id", "id", given.alias("_given")),
                                        ["comparison_id", "id"])
     filled = filled.withColumn("annotator_change_type", F.col("_given")).withColumn(
         "annotator_alignment_ok", flags).drop("_given")

@@ -16,15 +16,16 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
          seed: int = fixed.SAMPLE_SEED) -> DataFrame:
     """Even quota per class, the shortfall drawn from the rest, in shuffled order.
 
-    Repeatable for a seed.  Each step ranks by a hash with an upper bound, so only
-    the best of every partition travel.
+    Repeatable for a seed.  A comparison has at most two versions' worth of rows,
+    which bounds the windows.
     """
     drawn = rows.withColumn("_draw", F.xxhash64("row_index", F.lit(seed)))
-    classes = rows.groupBy("comparison_id").agg(F.countDistinct("change_type").alias("_classes"))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(size) / F.col("_classes")))
     within = Window.partitionBy("comparison_id", "change_type").orderBy("_draw", "row_index")
-    ranked = drawn.join(classes, "comparison_id").withColumn(
-        "_rank", F.row_number().over(within)).withColumn("_spare", F.col("_rank") > quota)
+    ranked = drawn.withColumn("_rank", F.row_number().over(within))
+    # every class present has exactly one row of rank one
+    classes = F.count_if(F.col("_rank") == 1).over(Window.partitionBy("comparison_id"))
+    quota = F.greatest(F.lit(1), F.floor(F.lit(size) / classes))
+    ranked = ranked.withColumn("_spare", F.col("_rank") > quota)
     # quota members first, then the rest in draw order: one cut does both selections
     overall = Window.partitionBy("comparison_id").orderBy("_spare", "_draw", "row_index")
     chosen = ranked.withColumn("_place", F.row_number().over(overall)).filter(
@@ -32,7 +33,7 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
     shuffle = Window.partitionBy("comparison_id").orderBy(
         F.xxhash64("_draw", F.lit(seed)), "row_index")
     return chosen.withColumn("id", (F.row_number().over(shuffle) - 1).cast("long")).drop(
-        "_draw", "_classes", "_rank", "_spare", "_place")
+        "_draw", "_rank", "_spare", "_place")
 
 
 def sheet(drawn: DataFrame, limit: int = fixed.SHEET_TEXT_CHARS) -> DataFrame:

@@ -8,6 +8,7 @@ from clauseloom import fixed
 from clauseloom.functions.text import alignment_text, lexical_similarity
 from clauseloom.operators import align, embed, report
 from clauseloom.operators.redline import with_redline
+from clauseloom.session import cut
 
 
 def split_rejects(comparisons: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +66,8 @@ def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None,
     """
     if "vector" not in sides.columns:
         text = alignment_text(F.col("section"), F.col("title"), F.col("content"))
-        sides = sides.withColumn("vector", embed.encode_column(text, encoder))
+        # encoded once; alignment reads the written copy several times
+        sides = cut(sides.withColumn("vector", embed.encode_column(text, encoder)))
     pairs = align.reading_order(align.align_semantic(sides, **limits))
     joined = report.attach_sides(pairs, sides)
     redlined = _redlined(joined.withColumn("similarity", F.col("embedding_score")))
@@ -83,7 +85,7 @@ def compare(comparisons: DataFrame, clauses: DataFrame, encoder: embed.ColumnEnc
     accepted, _ = split_rejects(comparisons, clauses)
     sides = align.comparison_sides(accepted, clauses)
     methods = with_strategy(accepted, sides).select("comparison_id", "method")
-    chosen = sides.join(methods, "comparison_id")
+    chosen = cut(sides.join(methods, "comparison_id"))
     numbered = identifier_rows(
         chosen.filter(F.col("method") == fixed.IDENTIFIER).drop("method"), encoder, unified)
     meant = semantic_rows(

@@ -1,7 +1,7 @@
 """Change localisation against published registers.
 
 ``scope`` (comparison_id, set_id) says which register sets a comparison is scored
-against, ``amendments`` carries set_id, ``rows`` are report rows.  Everything is
+against, ``amendments`` carries set_id, ``rows`` are ``scored_rows``.  Everything is
 keyed by (comparison_id, set_id), so several registers are scored in one pass.
 """
 
@@ -17,16 +17,25 @@ CASE = ["comparison_id", "set_id"]
 AMENDMENT = ["booklet", "volume", "reference", "operation"]
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Report rows with the number they are counted under and their rounded ratio."""
-    return rows.withColumn("number", row_number_of()).withColumn(
-        "ratio", F.col("redline.word_change_ratio"))
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """What localisation needs of report rows, without texts and markup.
+
+    The other functions take this; write or cache it once, they read it repeatedly.
+    """
+    both = F.col("v1").isNotNull() & F.col("v2").isNotNull()
+    return rows.select(
+        "comparison_id", "row_index", row_number_of().alias("number"), "change_type",
+        "similarity_score", F.col("redline.word_change_ratio").alias("ratio"),
+        F.col("redline.words_added").alias("words_added"),
+        F.col("redline.words_removed").alias("words_removed"),
+        F.coalesce(both & (F.col("v1.content") != F.col("v2.content")), F.lit(False))
+        .alias("text_differs"))
 
 
 def flagged_numbers(rows: DataFrame) -> DataFrame:
     """Universe of clause numbers; ``peak`` is the largest ratio of a changed row, null if none."""
     changed = F.col("change_type") != fixed.UNCHANGED
-    return numbered(rows).groupBy("comparison_id", "number").agg(
+    return rows.groupBy("comparison_id", "number").agg(
         F.max(F.when(changed, F.col("ratio"))).alias("peak"))
 
 
@@ -105,18 +114,14 @@ def missed_numbers(gold_numbers: DataFrame) -> DataFrame:
 
 def silent_misses(rows: DataFrame, gold_numbers: DataFrame) -> DataFrame:
     """Amended clauses whose text differs but which were classified Unchanged."""
-    quiet = numbered(rows).filter(
-        (F.col("change_type") == fixed.UNCHANGED) & F.col("v1").isNotNull()
-        & F.col("v2").isNotNull() & (F.col("v1.content") != F.col("v2.content")))
+    quiet = rows.filter((F.col("change_type") == fixed.UNCHANGED) & F.col("text_differs"))
     return quiet.join(gold_numbers.select(*CASE, "number"), ["comparison_id", "number"]).select(
-        *CASE, "row_index", "number", "similarity_score", "ratio",
-        F.col("redline.words_added").alias("words_added"),
-        F.col("redline.words_removed").alias("words_removed"))
+        *CASE, "row_index", "number", "similarity_score", "ratio", "words_added", "words_removed")
 
 
 def unlisted(rows: DataFrame, gold_numbers: DataFrame, scope: DataFrame) -> DataFrame:
     """What was flagged without being in the register, one row per case."""
-    changed = numbered(rows).filter(F.col("change_type") != fixed.UNCHANGED).join(
+    changed = rows.filter(F.col("change_type") != fixed.UNCHANGED).join(
         scope, "comparison_id").join(
         gold_numbers.select(*CASE, "number"), [*CASE, "number"], "left_anti")
     edited = F.col("change_type").isin(fixed.MINOR, fixed.SIGNIFICANT)
