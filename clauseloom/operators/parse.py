@@ -149,21 +149,36 @@ def line_marker(line: Column, profile: Column) -> Column:
     A heading with too long a remainder is a reference inside prose: it opens a
     clause of level 2 but no section.
     """
+    # most rules serve several grammars, so each is built once
+    built: dict[tuple, tuple[Column, Column]] = {}
+
+    def raw(rule: tuple) -> tuple[Column, Column]:
+        if rule not in built:
+            pattern, level, heading, prefix = rule
+            built[rule] = (line.rlike(pattern), F.struct(
+                F.regexp_extract(line, pattern, 1).alias("group"),
+                F.regexp_replace(line, pattern, "").alias("rest"), F.lit(level).alias("level"),
+                F.lit(heading).alias("heading"), F.lit(prefix).alias("prefix")))
+        return built[rule]
+
     def rules(name: str) -> Column:
-        chosen = None
-        for pattern, level, heading, prefix in grammar.PROFILES[name]["rules"]:
-            number = F.concat(F.lit(prefix), F.regexp_extract(line, pattern, 1))
-            if not prefix:
-                number = F.rtrim(strip(number), F.lit("."))
-            rest = strip(F.regexp_replace(line, pattern, ""))
-            opens = F.length(rest) <= fixed.HEADING_MAX_CHARS if heading else F.lit(False)
-            depth = F.when(opens, level).otherwise(2) if heading else F.lit(level)
-            condition, value = line.rlike(pattern), _marker(number, depth, opens, rest)
-            chosen = (F.when(condition, value) if chosen is None
-                      else chosen.when(condition, value))
+        chosen = F
+        for rule in grammar.PROFILES[name]["rules"]:
+            chosen = chosen.when(*raw(rule))
         return F.when(line.rlike(_openers(name)), chosen)
 
-    return _per_profile(profile, rules)
+    def finished(match: Column) -> Column:
+        number = F.when(match["prefix"] == "", F.rtrim(strip(match["group"]), F.lit("."))) \
+            .otherwise(F.concat(match["prefix"], match["group"]))
+
+        def marked(rest: Column) -> Column:
+            opens = match["heading"] & (F.length(rest) <= fixed.HEADING_MAX_CHARS)
+            level = F.when(match["heading"] & ~opens, 2).otherwise(match["level"])
+            return _marker(number, level, opens, rest)
+
+        return F.when(match.isNotNull(), let(strip(match["rest"]), marked))
+
+    return let(_per_profile(profile, rules), finished)
 
 
 def is_list_item(line: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clauseloom.functions import markup
 from clauseloom.functions.diff import redline_udf
 from clauseloom.functions.text import token_count
+from clauseloom.session import fan_out
 
 
 def _struct(html_v1: Column, html_v2: Column, unified: Column, removed: Column, added: Column,
@@ -22,16 +23,14 @@ def with_redline(pairs: DataFrame, left: str = "content_v1", right: str = "conte
     """Add the redline struct.
 
     Missing sides and equal texts are rendered in the JVM; only pairs that differ
-    are shipped to Python.  The pairs are spread first, by number of partitions,
-    because the cost per byte is far above what size-based coalescing expects.
+    are shipped to Python.  The pairs are spread over all partitions first.
     """
     a, b = F.col(left), F.col(right)
     none, empty = F.lit(0), F.lit("")
     differing = a.isNotNull() & b.isNotNull() & (a != b)
-    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = redline_udf(F.when(differing, a), F.when(differing, b))
     return (
-        pairs.repartition(width, F.xxhash64(a, b))
+        fan_out(pairs, F.xxhash64(a, b))
         .withColumn("_diff", marked)
         .withColumn(out, F.when(differing, F.col("_diff"))
                     .when(a.isNull() & b.isNull(), _struct(empty, empty, empty, none, none, none))

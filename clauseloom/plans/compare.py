@@ -8,7 +8,7 @@ from clauseloom import fixed
 from clauseloom.functions.text import alignment_text, lexical_similarity
 from clauseloom.operators import align, embed, report
 from clauseloom.operators.redline import with_redline
-from clauseloom.session import cut
+from clauseloom.session import cut, fan_out
 
 
 def split_rejects(comparisons: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +54,8 @@ def identifier_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None = None
     """Report rows of comparisons aligned by clause number."""
     pairs = align.reading_order(align.align_by_identifier(sides))
     joined = report.attach_sides(pairs, sides)
-    redlined = _redlined(joined.withColumn("similarity", content_similarity(encoder)))
+    # similarity behind the redline, where the pairs are spread over all partitions
+    redlined = _redlined(joined).withColumn("similarity", content_similarity(encoder))
     return report.build_rows(redlined, unified)
 
 
@@ -67,7 +68,8 @@ def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None,
     if "vector" not in sides.columns:
         text = alignment_text(F.col("section"), F.col("title"), F.col("content"))
         # encoded once; alignment reads the written copy several times
-        sides = cut(sides.withColumn("vector", embed.encode_column(text, encoder)))
+        spread_sides = fan_out(sides, F.col("comparison_id"), F.col("side"), F.col("idx"))
+        sides = cut(spread_sides.withColumn("vector", embed.encode_column(text, encoder)))
     pairs = align.reading_order(align.align_semantic(sides, **limits))
     joined = report.attach_sides(pairs, sides)
     redlined = _redlined(joined.withColumn("similarity", F.col("embedding_score")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -16,6 +17,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the call-site capture costs several round trips per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
@@ -35,9 +38,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and go on from the written copy."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the frame to the checkpoint folder and go on from the written copy.
+
+    A table rather than an RDD checkpoint, so that later reads prune columns and
+    later joins know the size.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def fan_out(frame: DataFrame, *keys: Column) -> DataFrame:
+    """Hash rows over all shuffle partitions before work that is heavy for its bytes.
+
+    The number is given, so that size-based coalescing does not undo it.
+    """
+    width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(width, *keys)
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
