@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogue.base import documents, sql_token_count, table
 from clauseloom.functions.vectors import unit
+from clauseloom.session import cut
 
 VERSION_SIZE = 50
 EDITIONS = 3
@@ -262,8 +263,9 @@ def vector_sides(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("content", F.lit("")).alias("content"), F.explode(F.array(
             F.struct(F.lit(1).alias("side"), F.col("vector").alias("vector")),
             F.struct(F.lit(2).alias("side"), unit(mixed).alias("vector")))).alias("s"))
-    return both.select("comparison_id", "s.side", "idx", "content", "s.vector",
-                       F.lit(VECTOR_GROUP).alias("version_size"))
+    # read several times by the alignment
+    return cut(both.select("comparison_id", "s.side", "idx", "content", "s.vector",
+                           F.lit(VECTOR_GROUP).alias("version_size")))
 
 
 SQL_VECTORS = f"""

@@ -181,12 +181,12 @@ def clauses_of_version(spark, folder):
 
 
 @query("library_stats", f"""WITH {SQL_LIBRARY},
-per AS (SELECT country_code, count(*) AS n FROM instruments WHERE country_code IS NOT NULL GROUP BY 1)
-SELECT (SELECT count(*) FROM instruments WHERE country_code IS NOT NULL) AS documents, (SELECT count(*) FROM versions) AS versions,
+per AS (SELECT coalesce(country_code, 'Unassigned') AS country_code, count(*) AS n FROM instruments GROUP BY 1)
+SELECT (SELECT count(*) FROM instruments) AS documents, (SELECT count(*) FROM versions) AS versions,
   (SELECT count(*) FROM clauses) AS clauses, unnest(list(country_code)) AS country_code, unnest(list(n)) AS held FROM per""")
 def library_stats(spark, folder):
     docs, versions, clauses = _library(spark, folder)
-    stats = library.library_stats(docs.filter("country_code IS NOT NULL"), versions, clauses)
+    stats = library.library_stats(docs, versions, clauses)
     return stats.select("documents", "versions", "clauses",
                         F.explode("by_country").alias("country_code", "held"))
 

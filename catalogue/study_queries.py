@@ -707,7 +707,7 @@ def top_shapes(spark, folder):
 def _termed_clauses(spark, folder):
     o = F.col("ordinal")
     text = F.replace(F.replace(F.col("content"), F.lit(" the "), F.lit(" fire door ")),
-                     F.lit(" and "), F.when(F.col("version_id") % 2 == 0, " Sprinkler ").otherwise(" smoke alarm "))
+                     F.lit(" and "), F.when(F.floor(F.col("version_id") / 3) % 2 == 0, " Sprinkler ").otherwise(" smoke alarm "))
     text = F.when(o % 10 == 4, F.concat(text, F.lit(" means"))).when(o % 10 == 5, "of").when(
         o % 10 == 6, F.concat(F.lit("escape route "), text)).when(
         o % 10 == 8, F.concat(text, F.lit(" travel"))).when(
@@ -721,7 +721,7 @@ SQL_TERMS = f"""
 {SQL_LIBRARY},
 termed AS (SELECT version_id, ordinal, CASE ordinal % 10 WHEN 4 THEN t || ' means' WHEN 5 THEN 'of' WHEN 6 THEN 'escape route ' || t
     WHEN 8 THEN t || ' travel' WHEN 9 THEN 'distance ' || t ELSE t END AS content
-  FROM (SELECT *, replace(replace(content, ' the ', ' fire door '), ' and ', CASE WHEN version_id % 2 = 0 THEN ' Sprinkler '
+  FROM (SELECT *, replace(replace(content, ' the ', ' fire door '), ' and ', CASE WHEN (version_id // 3) % 2 = 0 THEN ' Sprinkler '
     ELSE ' smoke alarm ' END) AS t FROM clauses)),
 joined AS MATERIALIZED (SELECT version_id, lower(string_agg(content, ' ' ORDER BY ordinal)) AS text FROM termed GROUP BY 1),
 terms AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS v(family, term)),
@@ -736,12 +736,20 @@ def term_rates(spark, folder):
 
 
 @query("specific_terms", f"""WITH {SQL_TERMS},
-g AS (SELECT family, term, list_sort(list(version_id) FILTER (WHERE rate > 0)) AS used, list_sort(list(version_id) FILTER (WHERE rate = 0)) AS absent
-  FROM rates GROUP BY ALL)
+pooled AS (SELECT coalesce(country_code, 'INT') AS place, family, term, round(sum(uses) * 10000.0::DOUBLE / greatest(1, sum(words)), 2) AS rate
+  FROM rates JOIN versions v ON v.id = version_id JOIN instruments i ON i.id = v.document_id GROUP BY ALL),
+g AS (SELECT family, term, list_sort(list(place) FILTER (WHERE rate > 0)) AS used, list_sort(list(place) FILTER (WHERE rate = 0)) AS absent
+  FROM pooled GROUP BY ALL)
 SELECT family, term, array_to_string(used, ',') AS used_by, array_to_string(absent, ',') AS absent_from FROM g
 WHERE len(used) > 0 AND len(absent) > 0""")
 def specific_terms(spark, folder):
+    """Terms used in some countries only; smoke alarms and sprinklers alternate by country."""
     rates = cross_country.term_rates(_termed_clauses(spark, folder), "version_id")
-    found = cross_country.specific_terms(rates, "version_id")
+    places = library_versions(spark, folder).select(
+        F.col("id").alias("version_id"), F.col("document_id").alias("id")).join(
+        library_documents(spark, folder).select("id", F.coalesce(
+            "country_code", F.lit(fixed.DEFAULT_COUNTRY)).alias("place")), "id").drop("id")
+    pooled = cross_country.pooled_rates(rates.join(places, "version_id"), "place")
+    found = cross_country.specific_terms(pooled, "place")
     return found.select("family", "term", F.array_join("used_by", ",").alias("used_by"),
                         F.array_join("absent_from", ",").alias("absent_from"))

@@ -70,24 +70,23 @@ def per_label(matrix: DataFrame, labels: list[str], *by: str) -> DataFrame:
     Each cell is read as seen from its true and from its predicted label; a
     zero cell per label and group keeps the grid full.
     """
-    spark = matrix.sparkSession
-    names = spark.createDataFrame([(x,) for x in labels], "label string")
-    groups = matrix.select(*by).distinct() if by else None
-    grid = names if groups is None else groups.join(F.broadcast(names), F.lit(True))
+    keys = list(by) or ["_all"]
+    matrix = matrix if by else matrix.withColumn("_all", F.lit(1))
+    grid = matrix.groupBy(*keys).agg(F.sum("n").alias("_total")).select(
+        *keys, "_total", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     views = F.array(
         F.struct(F.col("truth").alias("label"), (F.col("truth") == F.col("prediction"))
                  .alias("hit"), F.lit(True).alias("as_truth")),
         F.struct(F.col("prediction").alias("label"), F.lit(False).alias("hit"),
                  F.lit(False).alias("as_truth")))
-    seen = matrix.select(*by, "n", F.explode(views).alias("v")).select(*by, "n", "v.*")
+    seen = matrix.select(*keys, "n", F.explode(views).alias("v")).select(*keys, "n", "v.*")
     n = F.col("n")
-    sums = seen.groupBy(*by, "label").agg(
+    sums = seen.groupBy(*keys, "label").agg(
         F.sum(F.when(F.col("hit"), n).otherwise(0)).alias("true_positives"),
         F.sum(F.when(~F.col("as_truth"), n).otherwise(0)).alias("_predicted"),
         F.sum(F.when(F.col("as_truth"), n).otherwise(0)).alias("support"))
-    total = matrix.groupBy(*by).agg(F.sum("n").alias("_total"))
-    joined = grid.join(sums, [*by, "label"], "left").na.fill(0)
-    joined = joined.join(total, list(by)) if by else joined.join(total, F.lit(True))
+    joined = grid.join(sums, [*keys, "label"], "left").na.fill(
+        0, ["true_positives", "_predicted", "support"])
     tp = F.col("true_positives")
     counted = (joined.withColumn("false_positives", F.col("_predicted") - tp)
                .withColumn("false_negatives", F.col("support") - tp)

@@ -89,8 +89,15 @@ def term_rates(clauses: DataFrame, *by: str) -> DataFrame:
             F.lit(1), F.col("words")), 2).alias("rate"))
 
 
+def pooled_rates(rates: DataFrame, *by: str) -> DataFrame:
+    """Rates of several versions put together, for instance per country."""
+    return rates.groupBy(*by, "family", "term").agg(
+        F.sum("words").alias("words"), F.sum("uses").alias("uses")).withColumn(
+        "rate", F.round(F.col("uses") * 10000.0 / F.greatest(F.lit(1), F.col("words")), 2))
+
+
 def specific_terms(rates: DataFrame, place: str = "country_code") -> DataFrame:
-    """Terms some places use and others never do."""
+    """Terms some places use and others never do; ``place`` is a short list like the countries."""
     used = F.col("rate") > 0
     grouped = rates.groupBy("family", "term").agg(
         F.array_sort(F.collect_set(F.when(used, F.col(place)))).alias("used_by"),

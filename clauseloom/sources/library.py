@@ -103,16 +103,20 @@ def default_ordinal() -> Column:
 
 def library_stats(documents: DataFrame, versions: DataFrame, clauses: DataFrame) -> DataFrame:
     """One row: table counts and documents per country."""
-    by_country = documents.groupBy("country_code").count().agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("country_code", "count"))))
-        .alias("by_country"))
-    counts = [frame.agg(F.count("*").alias(name)) for frame, name in (
-        (documents, "documents"), (versions, "versions"), (clauses, "clauses"))]
-    # four one-row frames side by side
-    out = counts[0]
-    for other in counts[1:] + [by_country]:
-        out = out.join(other, F.lit(True))
-    return out
+    held = documents.groupBy("country_code").agg(F.count("*").alias("n")).select(
+        F.lit("by_country").alias("what"), "country_code", "n")
+    counts = held
+    for frame, name in ((documents, "documents"), (versions, "versions"), (clauses, "clauses")):
+        counts = counts.unionByName(frame.agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("what"), F.lit(None).cast("string").alias("country_code"), "n"))
+    # one row per country and table is all that is gathered
+    countries = F.collect_list(F.when(
+        F.col("what") == "by_country",
+        F.struct(F.coalesce("country_code", F.lit(fixed.UNASSIGNED)).alias("code"), "n")))
+    return counts.agg(
+        *[F.max(F.when(F.col("what") == name, F.col("n"))).alias(name)
+          for name in ("documents", "versions", "clauses")],
+        F.map_from_entries(F.array_sort(countries)).alias("by_country"))
 
 
 def find_version(listed: DataFrame, name_part: str, label: str) -> DataFrame:
