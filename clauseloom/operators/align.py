@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseloom import fixed
 from clauseloom.functions.text import set_similarity, token_set
-from clauseloom.session import cut
+from clauseloom.session import cut, fan_out
 
 BLOCK = 1024
 GROUP_LIMIT = 250_000
@@ -129,6 +129,8 @@ def nearest(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK) -> D
         lambda a, b: _block_best(a, b, top_k),
         f"comparison_id {kind}, index_v1 int, index_v2 int, cosine double")
     best = Window.partitionBy("comparison_id", "index_v1").orderBy(F.desc("cosine"), "index_v2")
+    # the rows are narrow, what is joined to them later is not: keep all partitions
+    partial = fan_out(partial, F.col("comparison_id"), F.col("index_v1"))
     return (partial.withColumn("_rank", F.row_number().over(best))
             .filter(F.col("_rank") <= top_k).drop("_rank"))
 
