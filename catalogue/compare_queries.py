@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    documents, query, sql_escape, sql_f1, sql_jaccard, sql_strip, sql_token_count, sql_token_set,
-    table,
+    documents, query, sql_escape, sql_f1, sql_jaccard, sql_redline_counts, sql_strip, sql_token_count,
+    sql_token_set, table,
 )
 from catalogue.fixtures import (
     SQL_IDENTIFIER_PAIRS, SQL_LIBRARY, SQL_ORDERED, SQL_ROWS, SQL_SIDES, SQL_VECTORS,
@@ -206,8 +206,7 @@ sided AS (SELECT comparison_id, id, max(CASE WHEN side = 1 THEN content END) AS
     max(CASE WHEN side = 2 THEN content END) AS b FROM sides GROUP BY ALL),
 tallied AS (SELECT *, {sql_token_count("coalesce(a, '')")} AS w1, {sql_token_count("coalesce(b, '')")} AS w2,
     a IS NOT NULL AND b IS NOT NULL AS both_sides FROM sided),
-redlined AS (SELECT *, greatest(w1 - w2, 0) AS words_removed, greatest(w2 - w1, 0) AS words_added,
-    CASE WHEN both_sides THEN least(w1, w2) ELSE 0 END AS words_unchanged FROM tallied)
+{sql_redline_counts("tallied", "a", "b", "redlined").strip()}
 """
 
 

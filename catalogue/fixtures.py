@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalogue.base import documents, sql_token_count, table
+from catalogue.base import documents, sql_redline_counts, sql_token_count, table
 from clauseloom.functions.vectors import unit
 from clauseloom.session import cut
 
@@ -181,8 +181,7 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY comparison_id ORDER BY
     index_v1 IS NULL, index_v2) - 1 AS row_index FROM sized)
 """
 
-# Rows of the identifier comparison: one text is always a beginning of the other, so
-# the words removed or added are the difference of the two counts.
+# Rows of the identifier comparison: one text is always a beginning of the other.
 SQL_ROWS = f"""
 joined AS (SELECT o.comparison_id, o.row_index, o.index_v1, o.index_v2,
     a.clause_number AS n1, b.clause_number AS n2, a.content AS c1, b.content AS c2,
@@ -194,9 +193,7 @@ joined AS (SELECT o.comparison_id, o.row_index, o.index_v1, o.index_v2,
     ON b.comparison_id = o.comparison_id AND b.idx = o.index_v2),
 counted AS (SELECT *, {sql_token_count("coalesce(c1, '')")} AS w1,
     {sql_token_count("coalesce(c2, '')")} AS w2 FROM joined),
-words AS (SELECT *, greatest(w1 - w2, 0) AS words_removed, greatest(w2 - w1, 0) AS words_added,
-    CASE WHEN c1 IS NULL OR c2 IS NULL THEN 0 ELSE least(w1, w2) END AS words_unchanged
-  FROM counted),
+{sql_redline_counts("counted", "c1", "c2", "words").strip()},
 """
 
 # -- numbered documents ------------------------------------------------------
