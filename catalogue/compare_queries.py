@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    documents, query, sql_escape, sql_f1, sql_jaccard, sql_redline_counts, sql_strip, sql_token_count,
+    documents, query, sql_escape, sql_jaccard, sql_redline_counts, sql_token_count,
     sql_token_set, table,
 )
 from catalogue.fixtures import (

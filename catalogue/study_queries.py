@@ -9,11 +9,10 @@ from catalogue.compare_queries import (
     SQL_REPORT, SQL_SEMANTIC_PAIRS, SQL_SUMMARY, aligned_report,
 )
 from catalogue.fixtures import (
-    SQL_COUNTRY_NAME, SQL_LIBRARY, SQL_ORDERED, SQL_SIDES, edition_sides, library_clauses,
+    SQL_COUNTRY_NAME, SQL_LIBRARY, SQL_SIDES, library_clauses,
     library_documents, library_versions, vector_sides,
 )
 from clauseloom import fixed
-from clauseloom.functions import text as tx
 from clauseloom.operators import align, embed, metrics, register
 from clauseloom.session import cut
 from clauseloom.plans import (

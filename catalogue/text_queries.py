@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    SPACE, documents, query, sql_jaccard, sql_strip, sql_token_count, sql_token_set, sql_tokens,
+    documents, query, sql_jaccard, sql_strip, sql_token_count, sql_token_set, sql_tokens,
     sql_word_count, sql_words, table,
 )
 from catalogue.fixtures import library_clauses, SQL_LIBRARY
 from clauseloom.functions import text as tx
-from clauseloom.functions.vectors import pooled
 from clauseloom.operators import clean, embed
 
 
