@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         root, name = os.path.split(_PACKAGE)
-        bundle = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+        bundle = shutil.make_archive(os.path.join(tempfile.mkdtemp(), f"{name}_llm"), "zip", root, name)
         spark.sparkContext.addPyFile(bundle)
         _SHIPPED.add(application)
 
