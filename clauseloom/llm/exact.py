@@ -4,13 +4,18 @@ Normalised texts are cut into blocks of a fixed size.  The different blocks, sor
 integer names.  Then neighbouring names are paired and the different pairs, sorted, get
 new names, until each document is one name.  Equal names mean equal bytes: names stand
 for values, not for hashes, so nothing can collide.
+
+Blocks are sorted by a hash and then by their bytes.  So all bytes are moved once, to find
+the different blocks of each hash; where a hash has one block only, which is the rule,
+the hash alone finds the name again.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.store import column, cut
@@ -36,7 +41,7 @@ def _named(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     block: int = BLOCK) -> DataFrame:
+                     block: int = BLOCK, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) per document.
 
     Of equal normalised texts the row with the largest id stays; null ids are smallest.
@@ -54,9 +59,21 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "doc_id", "sha", "n", F.posexplode(F.transform(
             F.sequence(F.lit(0), F.col("n") - 1),
             lambda i: F.expr("data").substr(i * block + 1, F.lit(block)))).alias("pos", "block"))
-    names = _named(blocks, ["block"])
+    blocks = blocks.withColumn("h", digest(F.col("block")))
+    different = blocks.select("h", "block").distinct()
+    kinds = cut(different.groupBy("h").agg(F.count("*").alias("kinds")), "kinds")
+    names = _named(kinds.select("h", F.explode(F.sequence(F.lit(1).cast("long"), "kinds")).alias("kind")), ["h", "kind"])
+    shared = kinds.where("kinds > 1").select("h")
+    kind = F.lit(1).cast("long").alias("kind")
+    if shared.isEmpty():
+        told = blocks.select("doc_id", "sha", "n", "pos", "h", kind)
+    else:  # different blocks with one hash: told apart by their bytes
+        by_bytes = Window.partitionBy("h").orderBy("block")
+        order = different.join(shared, "h", "left_semi").withColumn("kind", F.row_number().over(by_bytes).cast("long"))
+        told = blocks.join(shared, "h", "left_anti").select("doc_id", "sha", "n", "pos", "h", kind).union(
+            blocks.join(order, ["h", "block"]).select("doc_id", "sha", "n", "pos", "h", "kind"))
+    row = cut(told.join(names, ["h", "kind"]).select("doc_id", "sha", "n", "pos", "name"), "named")
     # rows alike in id and text are folded into one with a count
-    row = cut(blocks.join(names, "block").select("doc_id", "sha", "n", "pos", "name"), "named")
     row = row.groupBy("doc_id", "sha", "n", "pos").agg(
         F.max("name").alias("name"), F.count("*").alias("copies"))
     done = row.where("n = 1").select("doc_id", "sha", "copies", F.lit(0).alias("level"), "name")

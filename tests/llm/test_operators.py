@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clauseloom.llm import exact, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
 from clauseloom.llm.graph import components
@@ -449,8 +450,9 @@ def test_every_capacity_holds(rule):
 
 # -- exact dedup --------------------------------------------------------------
 
-@pytest.mark.parametrize("block", [8192, 7])
-def test_exact(docs, given, no_docs, block):
+@pytest.mark.parametrize("block,digests", [(8192, None), (7, None), (64, 3)])
+def test_exact(docs, given, no_docs, block, digests):
+    options = {"digest": lambda c: F.pmod(F.xxhash64(c), F.lit(digests))} if digests else {}
     upper = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     for frame in (docs, given):
         rows = [(d, t.encode().translate(upper)) for d, t in pairs_of(frame)]
@@ -458,7 +460,7 @@ def test_exact(docs, given, no_docs, block):
         for d, b in rows:
             groups[b].append(d)
         keep = {b: max((d for d in ids if d is not None), default=None) for b, ids in groups.items()}
-        out = exact.exact_duplicates(frame, block=block).collect()
+        out = exact.exact_duplicates(frame, block=block, **options).collect()
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == Counter(
             (d, keep[b], len(groups[b]), hashlib.sha256(b).hexdigest()) for d, b in rows)
         assert sum(r["kept"] for r in out) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in out if r["kept"])
