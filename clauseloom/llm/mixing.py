@@ -20,7 +20,7 @@ from clauseloom.llm.store import column, cut, fresh, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task flies at once.
-PART = 20_000
+PART = 2_000
 
 
 def word_count(text: Column) -> Column:
