@@ -24,7 +24,9 @@ from clauseloom.llm.store import column, cut, row_key
 
 LENGTH, GRAM = 200, 16
 #: Bytes that one transform holds, unless one k-gram alone has more.
-TEXT = 1 << 18
+TEXT = 1 << 16
+#: Bytes by which prefixes grow once they have as many; a power of two.
+WORD = 8
 #: Different segments of one k-gram beyond which its strings are counted one by one.
 HOT = 20_000
 _PIECE = 1 << 17
@@ -134,24 +136,32 @@ def repeated_suffixes(text: np.ndarray, ends: np.ndarray, length: int = LENGTH)
 
     Intervals of suffixes with a common prefix are numbered along the transform.  Two
     neighbours in an interval stay together for one byte more if, one step along the
-    transform, they fall in one interval of the level before.
+    transform, they fall in one interval of the level before.  Once all prefixes of WORD
+    bytes are known, each level extends by a word instead of a byte.
     """
-    order = suffix_array(text, ends)
+    order = suffix_array(text, ends).astype(np.int32)
     transform = text[order - 1]
     step = np.argsort(transform, kind="stable").astype(np.int32)  # inverse of the last-to-first map
     head = text[order]
     split = np.ones(len(text), dtype=bool)
     split[1:] = (head[1:] != head[:-1]) | (head[1:] == 0)
-    open_ = np.flatnonzero(~split)
+    open_ = np.flatnonzero(~split).astype(np.int32)
+    known, stride = 1, 1
     upper, lower = step[open_], step[open_ - 1]
-    for _ in range(length - 1):
+    while known < length and len(open_):
+        if stride == 1 and known >= WORD and (length - known) % WORD == 0:
+            stride = WORD
+            for _ in range(WORD.bit_length() - 1):
+                step = step[step]
+            upper, lower = step[open_], step[open_ - 1]
         interval = np.cumsum(split, dtype=np.int32)
-        together = interval[upper] == interval[lower]
-        split[open_[~together]] = True
-        open_, upper, lower = open_[together], upper[together], lower[together]
-        if not len(open_):
-            break
-    return np.union1d(order[open_], order[open_ - 1])
+        apart = interval[upper] != interval[lower]
+        known += stride
+        if apart.any():
+            split[open_[apart]] = True
+            together = ~apart
+            open_, upper, lower = open_[together], upper[together], lower[together]
+    return np.union1d(order[open_], order[open_ - 1]).astype(np.int64)
 
 
 def _segment_rows(length: int, gram: int):
@@ -267,20 +277,25 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     k1, k2 = row_key(column(docs, doc_id), column(docs, text))
     data = F.coalesce(column(docs, text), F.lit("")).cast("binary")
-    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), data.alias("data"))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), column(docs, doc_id).cast("long").alias("doc_id"),
+                        data.alias("data"))
     run, ddl = _segment_rows(length, gram)
-    rows = cut(keyed.where(F.octet_length("data") >= length).mapInArrow(run, ddl), "segments")
-    often = (rows.groupBy("a").agg(F.count("*").alias("times"), F.min("c").alias("x"), F.max("c").alias("y"))
-             .where("times > 1").select("a", (F.col("x") != F.col("y")).alias("differ")))
+    long = keyed.where(F.octet_length("data") >= length).select("k1", "k2", "data")
+    rows = cut(long.mapInArrow(run, ddl), "segments")
+    # written, so that a very frequent k-gram can be split in the join that follows
+    often = cut(rows.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "often")
     rows = cut(rows.join(often, "a"), "repeated")
-    different = rows.groupBy("a", "c", "differ").agg(
+    different = rows.groupBy("a", "c").agg(
         F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("r"))
+    different = cut(different, "different")
     equal = rows.join(different.where("times > 1").select("a", "c"), ["a", "c"]).select(
         "k1", "k2", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).cast("int").alias("end"))
-    open_ = different.where("differ").select("a", "r.*")
+    several = different.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a")
+    open_ = different.join(several, "a").select("a", "r.*")
     per = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "start", "n")).alias("s"))
-    bodies = keyed.join(per, ["k1", "k2"]).select("k1", "k2", "data", F.explode("s").alias("s")).select(
-        "k1", "k2", "s.a", "s.start", F.expr(f"substring(data, s.start + 1, s.n + {length - 1})").alias("body"))
+    # with the same columns as the join in _removed, so that texts are shuffled once for both
+    bodies = keyed.join(per, ["k1", "k2"]).select("k1", "k2", "doc_id", "data", F.explode("s").alias("s")).select(
+        "k1", "k2", "doc_id", "s.a", "s.start", F.expr(f"substring(data, s.start + 1, s.n + {length - 1})").alias("body"))
     crowded = open_.groupBy("a").count().where(F.col("count") > hot).select("a")
     crowded = cut(crowded, "crowded")
     run, ddl = _transform_rows(length, limit)
