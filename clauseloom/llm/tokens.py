@@ -1,9 +1,11 @@
 """Whole texts to token ids, a batch at a time, with each distinct word encoded once.
 
-Both tokenizers split a text at white space before anything else, so a text's ids are
-the ids of its words in turn.  A text is cut at single spaces and line feeds that stand
-between two visible characters; a text with any other white space beside one, or with
-the mark of a special token, is encoded whole.
+Both tokenizers split a text at white space, and between letters or digits and other
+signs, before anything else; so a text's ids are the ids of its words in turn.  A text is
+cut at single spaces and line feeds that stand between two visible characters, and, if it
+has no apostrophe, where ASCII signs meet letters or digits.  A text with any other white
+space beside a space, or with the mark of a special token, is encoded whole.
+So is one with the one letter whose lower case is two characters.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow.compute as pc
 
 #: Characters that a cut may stand between (RE2).
 _SEEN = r"!-~\p{L}\p{N}\p{P}\p{S}"
-_IRREGULAR = rf"\A[ \n]|[ \n]\z|[^{_SEEN}][ \n]|[ \n][^{_SEEN}]|<\|"
+_IRREGULAR = rf"\A[ \n]|[ \n]\z|[^{_SEEN}][ \n]|[ \n][^{_SEEN}]|<\||\x00|\x{{130}}"
+_SIGN, _WORD = r"[!-&(-/:-@\[-`{-~]", r"[\p{L}\p{N}]"
 _SOME = 20_000
 
 
@@ -25,7 +28,7 @@ class WordEncoder:
     """Encodes Arrow arrays of texts; made once per task.
 
     ``leading`` tells that the space before a word belongs to it (byte-level vocabularies);
-    otherwise white space is dropped.
+    otherwise white space is dropped and case is folded.
     """
 
     def __init__(self, path: str, leading: bool):
@@ -53,7 +56,14 @@ class WordEncoder:
         flat_odd, ends_odd = self._lists(texts.take(pa.array(whole)).to_pylist())
         place = dict(zip(whole.tolist(), range(len(whole))))
         plain = pc.if_else(odd, "", texts)
+        # behind a cut at white space the space is dropped, so cuts elsewhere carry a mark
+        cut = plain
+        for left, right in ((_WORD, _SIGN), (_SIGN, _WORD)):
+            cut = pc.replace_substring_regex(cut, f"({left})({right})", "\\1 \0\\2" if self.leading else r"\1 \2")
+        plain = pc.if_else(pc.match_substring(plain, "'"), plain, cut)
         plain = pc.replace_substring(plain, "\n", " \n" if self.leading else " ")
+        if not self.leading:
+            plain = pc.ascii_lower(plain)  # the tokenizer would do so for every word
         lists = pc.split_pattern(plain, " ")
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -63,7 +73,8 @@ class WordEncoder:
             first = lists.values.take(pa.array(offsets[:-1] + lists.offsets[0].as_py())).dictionary_encode()
             index = index.copy()
             index[offsets[:-1]] = first.indices.to_numpy() + len(distinct)
-            distinct = [w if w[:1] == "\n" else " " + w for w in distinct] + first.dictionary.to_pylist()
+            distinct = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in distinct]
+            distinct += first.dictionary.to_pylist()
         flat, ends = self._lists(distinct)
         begin, size = ends[:-1], np.diff(ends)
         for i in range(len(texts)):

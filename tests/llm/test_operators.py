@@ -389,6 +389,22 @@ def reference_ids(name, text):
     return Tokenizer.from_file(tokenizer_path(name)).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,leading", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_encode_as_whole_texts(name, leading):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from clauseloom.llm.tokens import WordEncoder
+
+    rng = random.Random(1)
+    signs = ["a", "B", "é", " ", "  ", "\n", "1", "22", ".", ",", "'s", "'", "#", "$$", "»", "\t", "\u00a0", "\u0301",
+             "Σ", "漢", "<|endoftext|>", "İ", "-", "\0", "K", "\u2003"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)]
+    whole = Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)
+    mine = WordEncoder(tokenizer_path(name), leading)(pa.array(texts))
+    assert [x.tolist() for x in mine] == [x.ids for x in whole]
+
+
 def test_token_files(spark, docs, given, no_docs):
     for frame in (docs, given):
         path = new_path(spark, "t")
