@@ -59,8 +59,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, leading: bool,
     rows = rows.withColumn("h", F.xxhash64("text"))
     kind = {2: "<u2", 4: "<u4"}[width]
 
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("doc_id", "h"), "h").limit(SAMPLE_DOCS)
-              .select(F.substring("text", 1, SAMPLE_CHARS)).collect()]
+    # ids first, so that no more than the sample's own texts leave the tasks
+    chosen = rows.select("doc_id", "h").orderBy(F.xxhash64("doc_id", "h"), "h").limit(SAMPLE_DOCS).distinct()
+    match = F.broadcast(chosen.select(F.col("doc_id").alias("i"), F.col("h").alias("g")))
+    sample = [r[0] for r in rows.join(match, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+              .select(F.substring("text", 1, SAMPLE_CHARS), "doc_id", "h").limit(SAMPLE_DOCS)
+              .orderBy("doc_id", "h").collect()]
     encode = WordEncoder(tokenizer, leading)
     data = train_dictionary([np.append(ids, end_id).astype(kind).tobytes()
                              for ids in encode(pa.array(sample, pa.string()))] if sample else [])

@@ -21,9 +21,23 @@ import pyarrow.compute as pc
 _SEEN = r"!-~\p{L}\p{N}\p{P}\p{S}"
 _IRREGULAR = rf"\A[ \n]|[ \n]\z|[^{_SEEN}][ \n]|[ \n][^{_SEEN}]|<\||\x00|\x{{130}}"
 _SIGN, _WORD = r"[!-&(-/:-@\[-`{-~]", r"[\p{L}\p{N}]"
+#: Words of Western European letters: one word for either tokenizer, stable under
+#: normalisation, with a lower case that no neighbour changes.
+_SIMPLE = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+\z"
 _SOME = 20_000
 
 
+def _shown_bytes() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: those without a visible sign of their own
+    in Latin-1 take the code points from 256 on, in order."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class WordEncoder:
     """Encodes Arrow arrays of texts; made once per task.
 
@@ -36,13 +50,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.leading = Tokenizer.from_file(path), leading
+        self.model = self.tokenizer.model
+
+    def _lists(self, texts: list[str], simple: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each begins and ends.
 
-    def _lists(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and where each begins and ends."""
+        A ``simple`` text is one word for the tokenizer, so its model can be asked directly.
+        """
         flat, ends = [np.zeros(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
+        tokenize = self.model.tokenize
         for at in range(0, len(texts), _SOME):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-                texts[at: at + _SOME], add_special_tokens=False)]
+            some = texts[at: at + _SOME]
+            direct = simple[at: at + _SOME] if simple else [False] * len(some)
+            whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(
+                [t for t, d in zip(some, direct) if not d], add_special_tokens=False)])
+            ids = [[x.id for x in tokenize(t.encode().decode("latin-1").translate(_SHOWN))] if d else next(whole)
+                   for t, d in zip(some, direct)]
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
             ends.append(np.cumsum(size) + ends[-1][-1])
@@ -69,13 +92,17 @@ class WordEncoder:
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
         index, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        simple = pc.match_substring_regex(words.dictionary, _SIMPLE).to_pylist()
         if self.leading:  # the first word of a text has no space before it
             first = lists.values.take(pa.array(offsets[:-1] + lists.offsets[0].as_py())).dictionary_encode()
             index = index.copy()
             index[offsets[:-1]] = first.indices.to_numpy() + len(distinct)
             distinct = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in distinct]
             distinct += first.dictionary.to_pylist()
-        flat, ends = self._lists(distinct)
+            simple += [False] * len(first.dictionary)
+        else:
+            distinct = [w.lower() if s else w for w, s in zip(distinct, simple)]
+        flat, ends = self._lists(distinct, simple)
         begin, size = ends[:-1], np.diff(ends)
         for i in range(len(texts)):
             if i in place:

@@ -397,7 +397,7 @@ def test_words_encode_as_whole_texts(name, leading):
     from clauseloom.llm.tokens import WordEncoder
 
     rng = random.Random(1)
-    signs = ["a", "B", "é", " ", "  ", "\n", "1", "22", ".", ",", "'s", "'", "#", "$$", "»", "\t", "\u00a0", "\u0301",
+    signs = ["a", "B", "é", "Wörter", "ÆON", "straße", " ", "  ", "\n", "1", "22", ".", ",", "'s", "'", "#", "$$", "»", "\t", "\u00a0", "\u0301",
              "Σ", "漢", "<|endoftext|>", "İ", "-", "\0", "K", "\u2003"]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)]
     whole = Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)
