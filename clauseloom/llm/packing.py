@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.store import column, cut
-from clauseloom.llm.tokens import WordEncoder
+from clauseloom.llm.tokens import word_encoder
 
 #: Pieces that one task packs together.
 GROUP = 16_384
@@ -82,7 +82,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, leading: bool, end_id: int, ca
     schema = pa.schema(kinds)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, leading)
+        encoder = word_encoder(tokenizer, leading)
         for batch in batches:
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):

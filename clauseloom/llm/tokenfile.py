@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.store import column
-from clauseloom.llm.tokens import WordEncoder
+from clauseloom.llm.tokens import word_encoder
 
 #: Documents, and characters of each, that the dictionary is trained on.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 65_536
@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, leading: bool,
     sample = [r[0] for r in rows.join(match, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
               .select(F.substring("text", 1, SAMPLE_CHARS), "doc_id", "h").limit(SAMPLE_DOCS)
               .orderBy("doc_id", "h").collect()]
-    encode = WordEncoder(tokenizer, leading)
+    encode = word_encoder(tokenizer, leading)
     data = train_dictionary([np.append(ids, end_id).astype(kind).tobytes()
                              for ids in encode(pa.array(sample, pa.string()))] if sample else [])
     sha = hashlib.sha256(data).hexdigest()
@@ -76,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, leading: bool,
               "offsets array<long>, blob binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, leading)
+        encoder = word_encoder(tokenizer, leading)
         compress = zstandard.ZstdCompressor(level=3, dict_data=_dict(data)).compress
         part, seq = TaskContext.get().partitionId(), 0
         ids, counts, offsets, frames = [], [], [0], []

@@ -11,6 +11,7 @@ So is one with the one letter whose lower case is two characters.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,8 @@ _SIGN, _WORD = r"[!-&(-/:-@\[-`{-~]", r"[\p{L}\p{N}]"
 #: normalisation, with a lower case that no neighbour changes.
 _SIMPLE = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+\z"
 _SOME = 20_000
+#: Texts taken together, and words remembered.
+_TEXTS, _TABLE = 2048, 600_000
 
 
 def _shown_bytes() -> dict[int, int]:
@@ -38,8 +41,14 @@ def _shown_bytes() -> dict[int, int]:
 _SHOWN = _shown_bytes()
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str, leading: bool) -> WordEncoder:
+    """One per worker process, so that tasks after the first find most words encoded."""
+    return WordEncoder(path, leading)
+
+
 class WordEncoder:
-    """Encodes Arrow arrays of texts; made once per task.
+    """Encodes Arrow arrays of texts, and remembers a bounded number of words.
 
     ``leading`` tells that the space before a word belongs to it (byte-level vocabularies);
     otherwise white space is dropped and case is folded.
@@ -51,6 +60,7 @@ class WordEncoder:
 
         self.tokenizer, self.leading = Tokenizer.from_file(path), leading
         self.model = self.tokenizer.model
+        self._forget()
 
     def _lists(self, texts: list[str], simple: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each begins and ends.
@@ -71,8 +81,29 @@ class WordEncoder:
             ends.append(np.cumsum(size) + ends[-1][-1])
         return np.concatenate(flat), np.concatenate(ends)
 
+    def _known(self, words: list[str], simple: list[bool]) -> np.ndarray:
+        """Places of the words in the table, new ones encoded first."""
+        if len(self.table) + len(words) > _TABLE:
+            self._forget()
+        fresh = [i for i, w in enumerate(words) if w not in self.table]
+        if fresh:
+            flat, ends = self._lists([words[i] for i in fresh], [simple[i] for i in fresh])
+            self.begin = np.concatenate((self.begin, ends[:-1] + len(self.flat)))
+            self.size = np.concatenate((self.size, np.diff(ends)))
+            self.flat = np.concatenate((self.flat, flat))
+            self.table.update(zip([words[i] for i in fresh], range(len(self.table), len(self.table) + len(fresh))))
+        return np.fromiter(map(self.table.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _forget(self) -> None:
+        self.table: dict[str, int] = {}
+        self.flat, self.begin, self.size = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64))
+
     def __call__(self, texts: pa.Array):
         """The ids of each text, as arrays, in order."""
+        for at in range(0, len(texts), _TEXTS):
+            yield from self._some(texts.slice(at, _TEXTS))
+
+    def _some(self, texts: pa.Array):
         texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, _IRREGULAR)
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
@@ -102,8 +133,8 @@ class WordEncoder:
             simple += [False] * len(first.dictionary)
         else:
             distinct = [w.lower() if s else w for w, s in zip(distinct, simple)]
-        flat, ends = self._lists(distinct, simple)
-        begin, size = ends[:-1], np.diff(ends)
+        index = self._known(distinct, simple)[index]
+        flat, begin, size = self.flat, self.begin, self.size
         for i in range(len(texts)):
             if i in place:
                 at = place[i]
