@@ -30,17 +30,25 @@ _SOME = 20_000
 _TEXTS, _TABLE = 2048, 600_000
 
 
-def _shown_bytes() -> dict[int, int]:
+def _shown_bytes() -> np.ndarray:
     """How byte-level vocabularies write bytes: those without a visible sign of their own
     in Latin-1 take the code points from 256 on, in order."""
     visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in visible]
-    return {b: 256 + n for n, b in enumerate(hidden)}
+    table = np.arange(256, dtype="<u4")
+    table[hidden] = 256 + np.arange(len(hidden))
+    return table
 
 
 _SHOWN = _shown_bytes()
 
 
+def _shown(words: list[str]) -> list[str]:
+    """The words, which hold no exclamation mark, as byte-level vocabularies write them."""
+    codes = np.frombuffer("!".join(words).encode(), dtype=np.uint8)
+    return _SHOWN[codes].tobytes().decode("utf-32-le").split("!")
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str, leading: bool) -> WordEncoder:
     """One per worker process, so that tasks after the first find most words encoded."""
@@ -74,8 +82,8 @@ class WordEncoder:
             direct = simple[at: at + _SOME] if simple else [False] * len(some)
             whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(
                 [t for t, d in zip(some, direct) if not d], add_special_tokens=False)])
-            ids = [[x.id for x in tokenize(t.encode().decode("latin-1").translate(_SHOWN))] if d else next(whole)
-                   for t, d in zip(some, direct)]
+            words = iter(_shown([t for t, d in zip(some, direct) if d]))
+            ids = [[x.id for x in tokenize(next(words))] if d else next(whole) for d in direct]
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum())))
             ends.append(np.cumsum(size) + ends[-1][-1])
@@ -85,13 +93,13 @@ class WordEncoder:
         """Places of the words in the table, new ones encoded first."""
         if len(self.table) + len(words) > _TABLE:
             self._forget()
-        fresh = [i for i, w in enumerate(words) if w not in self.table]
+        fresh = {w: s for w, s in zip(words, simple) if w not in self.table}
         if fresh:
-            flat, ends = self._lists([words[i] for i in fresh], [simple[i] for i in fresh])
+            flat, ends = self._lists(list(fresh), list(fresh.values()))
+            self.table.update(zip(fresh, range(len(self.begin), len(self.begin) + len(fresh))))
             self.begin = np.concatenate((self.begin, ends[:-1] + len(self.flat)))
             self.size = np.concatenate((self.size, np.diff(ends)))
             self.flat = np.concatenate((self.flat, flat))
-            self.table.update(zip([words[i] for i in fresh], range(len(self.table), len(self.table) + len(fresh))))
         return np.fromiter(map(self.table.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _forget(self) -> None:
