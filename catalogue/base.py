@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.functions import text as tx
-from clauseloom.session import checkpoint_dir, spread
+from clauseloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,20 +24,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
-    """A table spread over the cores when it comes in fewer splits."""
-    frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(frame, *keys) if keys else frame
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     frame = spark.read.parquet(f"{folder}/documents.parquet")
-    return spread(frame.select(*columns) if columns else frame, "doc_id")
+    return frame.select(*columns) if columns else frame
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 # -- SQL fragments -----------------------------------------------------------

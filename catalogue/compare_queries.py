@@ -243,7 +243,7 @@ def redline_one_sided(spark, folder):
 @query("redline_escape", f"""
 SELECT page_id, '<ins class="rl-ins">' || {sql_escape('html')} || '</ins>' AS html FROM pages""")
 def redline_escape(spark, folder):
-    return table(spark, folder, "pages", "page_id").select(
+    return table(spark, folder, "pages").select(
         "page_id", markup.inserted(F.col("html")).alias("html"))
 
 
@@ -254,7 +254,7 @@ def sanitise_markup(spark, folder):
     """Pages whose paragraphs are turned into insertions, all other tags removed."""
     html = F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit(fixed.INS_OPEN)),
                      F.lit("</p>"), F.lit(fixed.INS_CLOSE))
-    return table(spark, folder, "pages", "page_id").select(
+    return table(spark, folder, "pages").select(
         "page_id", markup.sanitise(html).alias("html"))
 
 
@@ -285,7 +285,7 @@ SELECT l_orderkey, l_linenumber, {SQL_TYPE} AS change_type,
     ELSE 'Significant Change' END AS by_similarity FROM r""")
 def classify_rows(spark, folder):
     """The classification over a grid of similarities, ratios and word counts."""
-    items = table(spark, folder, "lineitem", "l_orderkey").select(
+    items = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber",
         (F.lit(1.0) - F.col("l_discount").cast("double") * 3).alias("similarity"),
         (F.col("l_quantity").cast("long") * F.when(F.col("l_partkey") % 10 == 0, 5).otherwise(1))

@@ -247,7 +247,7 @@ def vector_sides(spark: SparkSession, folder: str) -> DataFrame:
     A mixture lies close to two of the originals, so the matching has to choose.
     """
     v = F.col("vec_id")
-    own = table(spark, folder, "embeddings", "vec_id").select(
+    own = table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     following = own.select(F.when(v % VECTOR_GROUP == 0, v + VECTOR_GROUP - 1).otherwise(v - 1)
                            .alias("vec_id"), F.col("vector").alias("next"))

@@ -320,37 +320,36 @@ def library_store(spark, folder):
 
 # -- search ------------------------------------------------------------------
 
-def _sql_search(pattern: str, extra: str, limit: int, needle: str) -> str:
+def _sql_search(pattern: str, extra: str, needle: str) -> str:
     return f"""WITH {SQL_LIBRARY},
 hits AS (SELECT c.*, v.version_label, v.document_id, i.name AS document_name, i.country_code AS stored_code,
     instr(lower(c.content), '{needle.lower()}') - 1 AS hit, {SQL_COUNTRY_NAME} AS country_name
   FROM clauses c JOIN versions v ON c.version_id = v.id JOIN instruments i ON i.id = v.document_id
   WHERE (content ILIKE '{pattern}' OR title ILIKE '{pattern}' OR section ILIKE '{pattern}'
     OR clause_number ILIKE '{pattern}') {extra}),
-shown AS (SELECT * FROM hits ORDER BY stored_code NULLS FIRST, document_name, ordinal, id LIMIT {limit})
 SELECT id, clause_number, section, coalesce(nullif(level, 0), 2) AS level, ordinal, version_id, version_label,
   document_name, coalesce(stored_code, 'INT') AS country_code, country_name,
   CASE WHEN hit < 0 THEN {sql_strip('substr(content, 1, 160)')} ELSE
     CASE WHEN hit > 80 THEN '…' ELSE '' END ||
     {sql_strip(f'substr(content, CAST(greatest(0, hit - 80) + 1 AS BIGINT), CAST(least(length(content), hit + {len(needle)} + 80) - greatest(0, hit - 80) AS BIGINT))')} ||
-    CASE WHEN hit + {len(needle)} + 80 < length(content) THEN '…' ELSE '' END END AS excerpt FROM shown"""
+    CASE WHEN hit + {len(needle)} + 80 < length(content) THEN '…' ELSE '' END END AS excerpt FROM hits"""
 
 
 _SHOWN = ["id", "clause_number", "section", "level", "ordinal", "version_id", "version_label",
           "document_name", "country_code", "country_name", "excerpt"]
 
 
-@query("search_library", _sql_search("%tion the%", "", 200, "tion the"))
+@query("search_library", _sql_search("%tion the%", "", "tion the"))
 def search_library(spark, folder):
     return search(" tion the ", *_library(spark, folder)).select(*_SHOWN)
 
 
-@query("search_in_country", _sql_search("%th_re%", "AND stored_code = 'EW'", 500, "th_re"))
+@query("search_in_country", _sql_search("%th_re%", "AND stored_code = 'EW'", "th_re"))
 def search_in_country(spark, folder):
     """A wildcard term within one country."""
-    return search("th_re", *_library(spark, folder), country="EW", limit=500).select(*_SHOWN)
+    return search("th_re", *_library(spark, folder), country="EW").select(*_SHOWN)
 
 
-@query("search_in_versions", _sql_search("%table%", "AND c.version_id IN (1, 2, 5, 8)", 200, "table"))
+@query("search_in_versions", _sql_search("%table%", "AND c.version_id IN (1, 2, 5, 8)", "table"))
 def search_in_versions(spark, folder):
     return search("TABLE", *_library(spark, folder), version_ids=[1, 2, 5, 8]).select(*_SHOWN)

@@ -65,7 +65,7 @@ texts AS MATERIALIZED (SELECT d.doc_id, {_TITLE_LIST}[d.doc_id % 6 + 1] || chr(1
     CASE WHEN d.doc_id % 4 = 0 THEN d.text ELSE n.text END AS text
   FROM documents d JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
     FROM numbered GROUP BY doc_id) n ON n.doc_id = d.doc_id),
-heads AS (SELECT doc_id, lower(substr(text, 1, 40000)) AS low, substr(text, 1, 40000) AS head FROM texts),
+heads AS (SELECT doc_id, lower(text) AS low, text AS head FROM texts),
 signatures AS (SELECT doc_id, {_signature_sql()} FROM heads),
 head_lines AS (SELECT doc_id, {sql_strip('unnest(string_split(head, chr(10)))')} AS line FROM heads),
 structures AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE {_opens('line', n)}) AS str_{n}" for n in _SCORED)}
@@ -84,7 +84,7 @@ found AS (SELECT doc_id, CASE WHEN top > 0 THEN profile ELSE 'generic' END AS pr
 @query("signature_and_structure_scores", f"""WITH {SQL_SCORES}
 SELECT doc_id, profile, signature, structure FROM scores""")
 def signature_and_structure_scores(spark, folder):
-    head = F.substring("text", 1, fixed.DETECTION_CHARS)
+    head = F.col("text")
     lines = parse.content_lines(head)
     parts = F.array(*[F.struct(
         F.lit(name).alias("profile"),

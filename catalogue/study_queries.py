@@ -33,7 +33,7 @@ def booklets(spark, folder):
              .when(d % 5 == 3, F.concat(F.lit("In Appendix "), letter, F.lit(", insert the following.")))
              .otherwise(F.concat(F.lit("Amend Tables "), letter, F.lit("2 and "), letter, b, F.lit("."))))
     second = F.concat(F.lit("After paragraph "), b, F.lit("."), a, F.lit(", add the following."))
-    line = F.substring(F.regexp_replace("text", r"[\n.:]+", " "), 1, 120)
+    line = F.regexp_replace("text", r"[\n.:]+", " ")
     text = F.concat(
         F.lit("Changes\nVolume 1 – Dwellings\nList of amendments\nThe headings\nPage "), d % 90 + 1,
         F.lit("\n"), first, F.lit("\n"), line, F.lit("\nVolume 2 – Buildings other\nList of amendments\nPage 7 to 9\n"),
@@ -45,7 +45,7 @@ def booklets(spark, folder):
 _L = "chr(CAST(65 + doc_id % 5 AS INTEGER))"
 SQL_BOOKLETS = f"""
 inputs AS (SELECT doc_id, doc_id % 6 + 1 AS a, doc_id % 8 + 1 AS b, {_L} AS letter,
-    substr(regexp_replace(text, '[\\n.:]+', ' ', 'g'), 1, 120) AS prose FROM documents),
+    regexp_replace(text, '[\\n.:]+', ' ', 'g') AS prose FROM documents),
 booklets AS (SELECT doc_id AS booklet, 'Changes' || chr(10) || 'Volume 1 – Dwellings' || chr(10) || 'List of amendments' || chr(10)
     || 'The headings' || chr(10) || 'Page ' || (doc_id % 90 + 1) || chr(10)
     || CASE doc_id % 5 WHEN 0 THEN 'Replace paragraph ' || a || '.' || b || ' with the' || chr(10) || 'following.'
@@ -74,7 +74,7 @@ verbs AS (SELECT *, lower(coalesce(
     nullif(regexp_extract(sentence, '(?i)^\\s*(?:in|at)\\s+.{{0,80}}?,\\s*(replace|delete|insert|add|amend)\\b', 1), ''))) AS verb
   FROM sentences),
 instructions AS MATERIALIZED (SELECT booklet, region, volume, sentence, CASE verb WHEN 'substitute' THEN 'replace'
-    WHEN 'add' THEN 'insert' ELSE verb END AS operation FROM verbs WHERE verb IS NOT NULL AND length(sentence) <= 320)
+    WHEN 'add' THEN 'insert' ELSE verb END AS operation FROM verbs WHERE verb IS NOT NULL)
 """
 
 
@@ -276,7 +276,7 @@ LABELS = ["0", "1", "2"]
 
 def _two_labellings(spark, folder):
     """Quality labels against a rule on length, per source."""
-    labels = table(spark, folder, "labels", "doc_id").select("doc_id", "quality")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "n_chars", "source")
     return labels.join(docs, "doc_id").select(
         "source", "doc_id", F.col("quality").cast("string").alias("truth"),
@@ -342,7 +342,7 @@ WITH v AS (SELECT l_returnflag, CAST(l_discount AS DOUBLE) * CAST(l_tax AS DOUBL
 s AS (SELECT l_returnflag, round(x, 4) AS score FROM v)
 {sql_describe('s', 'score', 'l_returnflag')}""")
 def describe_scores(spark, folder):
-    scores = table(spark, folder, "lineitem", "l_orderkey").select("l_returnflag", F.round(
+    scores = table(spark, folder, "lineitem").select("l_returnflag", F.round(
         F.col("l_discount").cast("double") * F.col("l_tax").cast("double"), 4).alias("score"))
     return metrics.describe(scores, "score", "l_returnflag")
 
@@ -641,10 +641,10 @@ def register_operations(spark, folder):
 
 
 @query("repeated_references", f"""WITH {SQL_VOLUME_ONE},
-c AS (SELECT reference, count(DISTINCT register) AS rounds FROM volume_one GROUP BY 1 ORDER BY rounds DESC, reference LIMIT 12)
-SELECT * FROM c WHERE rounds > 1""")
+c AS (SELECT reference, count(DISTINCT register) AS rounds FROM volume_one GROUP BY 1 HAVING rounds > 1)
+SELECT * FROM c""")
 def repeated_references(spark, folder):
-    return evolution.repeated_references(_registers(spark, folder))
+    return evolution.repeated_references(_registers(spark, folder), limit=None)
 
 
 @query("jurisdiction_sizes", f"""WITH {SQL_LIBRARY},

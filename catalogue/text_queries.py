@@ -55,7 +55,7 @@ def alignment_text(spark, folder):
 SQL_CHUNKS = f"""
 worded AS (SELECT doc_id, text, {sql_words('text')} AS w FROM documents),
 chunked AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [''] WHEN len(w) <= 220 THEN [text]
-    ELSE list_transform(range(0, len(w), 180)[1:24],
+    ELSE list_transform(range(0, len(w), 180),
       lambda s: array_to_string(w[s + 1:s + 220], ' ')) END AS parts FROM worded),
 chunks AS (SELECT doc_id, unnest(parts) AS chunk, generate_subscripts(parts, 1) - 1 AS part
   FROM chunked)
@@ -128,7 +128,7 @@ SELECT owner, CAST(dimension AS INTEGER) AS dimension,
   round(CASE WHEN sum(x * x) OVER o > 0 THEN x / sqrt(sum(x * x) OVER o) ELSE x END, 6) AS value
 FROM sums WINDOW o AS (PARTITION BY owner)""")
 def pool_vectors(spark, folder):
-    parts = table(spark, folder, "embeddings", "vec_id").select(
+    parts = table(spark, folder, "embeddings").select(
         F.floor(F.col("vec_id") / 4).alias("owner"), F.col("vec_id").alias("part"),
         F.col("embedding").alias("vector"))
     return embed.pool(parts, ["owner"]).select(
@@ -140,7 +140,7 @@ def pool_vectors(spark, folder):
 SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)
   AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosine_neighbours(spark, folder):
-    vectors = table(spark, folder, "embeddings", "vec_id").select("vec_id", "embedding")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"),
                                F.col("embedding").alias("other"))
     return vectors.join(following, "vec_id").select("vec_id", F.round(

@@ -18,7 +18,6 @@ SIGNIFICANT_MIN_WORDS = 200
 # Chunks handed to an encoder.
 CHUNK_WORDS = 220
 CHUNK_OVERLAP = 40
-CHUNKS_PER_CLAUSE = 24
 
 # Alignment.
 IDENTIFIER_OVERLAP_MIN = 0.35
@@ -30,13 +29,11 @@ TOP_K = 12
 
 # Parsing.
 MIN_CLAUSE_CHARS = 60
-MAX_CLAUSES = 20_000
 HEADING_MAX_CHARS = 90
 HEADER_MAX_CHARS = 90
 HEADER_MIN_CHARS = 3
 HEADER_REPEATS = 8
 NAVIGATION_MAX_WORDS = 40
-DETECTION_CHARS = 40_000
 
 # Redline.
 WORD_DIFF_TOKENS = 1500
@@ -48,8 +45,6 @@ HIT_OPEN = '<mark class="hit">'
 HIT_CLOSE = "</mark>"
 
 # Search.
-SEARCH_LIMIT = 200
-SEARCH_LIMIT_MAX = 500
 TERM_MIN_CHARS = 2
 EXCERPT_WINDOW = 160
 
@@ -69,8 +64,6 @@ SEMANTIC = "semantic"
 AUTO = "auto"
 
 # Register of amendments.
-INSTRUCTION_MAX_CHARS = 320
-RANGE_SPAN_MAX = 40
 OPERATION_ALIASES = {
     "replace": "replace", "substitute": "replace", "amend": "amend",
     "delete": "delete", "remove": "delete", "insert": "insert", "add": "insert",

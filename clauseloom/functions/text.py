@@ -88,8 +88,7 @@ def chunks(text: Column) -> Column:
     size, stride = fixed.CHUNK_WORDS, fixed.CHUNK_WORDS - fixed.CHUNK_OVERLAP
 
     def windows(w: Column) -> Column:
-        starts = F.slice(F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride)), 1,
-                         fixed.CHUNKS_PER_CLAUSE)
+        starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))
         return (
             F.when(F.size(w) == 0, F.array(F.lit("")))
             .when(F.size(w) <= size, F.array(text))

@@ -1,8 +1,8 @@
 """Alignment of two clause lists, for many comparisons in one plan.
 
 ``sides`` holds one row per clause and side: comparison_id, side (1 or 2), idx
-(position in the version, from 0), clause_number, section, title, content.  A
-version holds at most ``MAX_CLAUSES`` clauses, which bounds every window below.
+(position in the version, from 0), clause_number, section, title, content.  Windows
+below hold one version or one comparison.
 """
 
 from __future__ import annotations

@@ -59,7 +59,7 @@ def encode_column(text: Column, encoder: ColumnEncoder) -> Column:
 
 def encode_frame(frame: DataFrame, keys: list[str], text: Column, encoder: FrameEncoder,
                  out: str = "vector") -> DataFrame:
-    """(keys, out) with chunks encoded as rows; a key collects at most its chunk limit."""
+    """(keys, out) with chunks encoded as rows; a key collects the chunks of its own text."""
     parts = frame.select(*keys, F.posexplode(chunks(text)).alias("part", "chunk"))
     return pool(encoder(parts), keys, out)
 

@@ -47,7 +47,7 @@ def structure_score(lines: Column, profile: str) -> Column:
 
 def profile_scores(text: Column) -> Column:
     """Array of (score, order, profile), one element per non-generic profile."""
-    head = F.substring(text, 1, fixed.DETECTION_CHARS)
+    head = text
     names = [name for name in grammar.PROFILES if name != fixed.GENERIC]
 
     def scored(low: Column, lines: Column) -> Column:
@@ -317,7 +317,7 @@ def clause_array(text: Column, profile: Column) -> Column:
     lines = F.filter(content_lines(text), lambda l: ~is_noise(l, profile))
     kept = let(let(lines, parsed), merged)
     kept = F.filter(kept, lambda c: ~is_navigation(c["content"], c["level"]))
-    return F.when(strip(text) != "", F.slice(kept, 1, fixed.MAX_CLAUSES))
+    return F.when(strip(text) != "", kept)
 
 
 def parse_documents(documents: DataFrame, *keys: str) -> DataFrame:

@@ -48,19 +48,18 @@ def operation(sentence: Column) -> Column:
     verb = F.coalesce(*[F.nullif(F.regexp_extract(sentence, p, 1), F.lit(""))
                         for p in grammar.INSTRUCTIONS])
     aliases = F.create_map(*[F.lit(x) for pair in fixed.OPERATION_ALIASES.items() for x in pair])
-    return F.when(F.length(sentence) <= fixed.INSTRUCTION_MAX_CHARS,
-                  F.try_element_at(aliases, F.lower(verb)))
+    return F.try_element_at(aliases, F.lower(verb))
 
 
 def expanded(body: Column, connector: Column, other: Column) -> Column:
-    """Both ends of a pair, every member of a short range with one prefix."""
+    """Both ends of a pair, every member of a range with one prefix."""
     split = r"^([A-Z]*)(\d+)$"
     low, high = [F.try_to_number(F.nullif(F.regexp_extract(x, split, 2), F.lit("")),
                                  F.lit("999999999")).cast("int") for x in (body, other)]
     prefix = F.regexp_extract(body, split, 1)
     is_range = ((F.lower(connector) == "to") & body.rlike(split) & other.rlike(split)
                 & (prefix == F.regexp_extract(other, split, 1))
-                & (high - low).between(0, fixed.RANGE_SPAN_MAX))
+                & (high >= low))
     run = F.transform(F.sequence(low, F.when(is_range, high).otherwise(low)),
                       lambda n: F.concat(prefix, n.cast("string")))
     return (F.when(connector == "", F.array(body))

@@ -11,14 +11,13 @@ from clauseloom.sources.library import _country, country_name, default_level, de
 
 def search(term: str, documents: DataFrame, versions: DataFrame, clauses: DataFrame,
            country: str | None = None, version_ids: list[int] | None = None,
-           limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
+           limit: int | None = None) -> DataFrame:
     """Clauses whose text, title, section or number mentions the term.
 
     ``%`` and ``_`` in the term are wildcards.  The filter runs on the clause scan,
-    before the joins, and the limit is a top-n, so nothing is sorted as a whole.
+    before the joins.  All hits come out, unordered, unless a limit asks for the first
+    ones; that is a top-n, so nothing is sorted as a whole.
     """
-    if limit > fixed.SEARCH_LIMIT_MAX:
-        raise ValueError(f"limit is at most {fixed.SEARCH_LIMIT_MAX}")
     needle = term.strip()
     hit = F.lit(False)
     for field in ("content", "title", "section", "clause_number"):
@@ -31,10 +30,11 @@ def search(term: str, documents: DataFrame, versions: DataFrame, clauses: DataFr
     owners = versions.select(F.col("id").alias("version_id"), "version_label", "document_id").join(
         documents.select(F.col("id").alias("document_id"), F.col("name").alias("document_name"),
                          "country_code"), "document_id")
+    hits = found.join(owners, "version_id")
+    if limit is not None:
+        hits = hits.orderBy("country_code", "document_name", "ordinal", "id").limit(limit)
     return (
-        found.join(owners, "version_id")
-        .orderBy("country_code", "document_name", "ordinal", "id").limit(limit)
-        .select("id", "clause_number", "title", "content", "section",
+        hits.select("id", "clause_number", "title", "content", "section",
                 default_level().alias("level"), default_ordinal().alias("ordinal"),
                 "version_id", "version_label", "document_id", "document_name",
                 country_name(F.col("country_code")).alias("country_name"),

@@ -73,20 +73,20 @@ def register_sections(amendments: DataFrame, limit: int = TOP_PER_REGISTER) -> D
     return metrics.top(counts, limit, "booklet", name="section")
 
 
-def section_totals(amendments: DataFrame, limit: int = TOP_TOTALS) -> DataFrame:
+def section_totals(amendments: DataFrame, limit: int | None = TOP_TOTALS) -> DataFrame:
     counts = volume_one(amendments).groupBy("section").agg(F.count("*").alias("amendments"))
-    return counts.orderBy(F.desc("amendments"), "section").limit(limit)
+    return counts if limit is None else counts.orderBy(F.desc("amendments"), "section").limit(limit)
 
 
 def operation_totals(amendments: DataFrame) -> DataFrame:
     return volume_one(amendments).groupBy("operation").agg(F.count("*").alias("amendments"))
 
 
-def repeated_references(amendments: DataFrame, limit: int = TOP_REFERENCES) -> DataFrame:
-    """References amended in more than one register, among the most frequent."""
+def repeated_references(amendments: DataFrame, limit: int | None = TOP_REFERENCES) -> DataFrame:
+    """References amended in more than one register, most frequent first; None for all."""
     counts = volume_one(amendments).groupBy("reference").agg(
-        F.countDistinct("booklet").alias("rounds"))
-    return counts.orderBy(F.desc("rounds"), "reference").limit(limit).filter("rounds > 1")
+        F.countDistinct("booklet").alias("rounds")).filter("rounds > 1")
+    return counts if limit is None else counts.orderBy(F.desc("rounds"), "reference").limit(limit)
 
 
 def jurisdiction_sizes(documents: DataFrame, versions: DataFrame,

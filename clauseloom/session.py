@@ -25,16 +25,25 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    Only a session that names none (a local test run) gets a temporary one.
+    A local session that names none (a test run) gets a temporary one; on a cluster that
+    is an error, as every executor would write to a disk of its own.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="clauseloom-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="clauseloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder, deleted when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def cut(frame: DataFrame) -> DataFrame:
     later joins know the size.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -56,15 +65,3 @@ def fan_out(frame: DataFrame, *keys: Column) -> DataFrame:
     """
     width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return frame.repartition(width, *keys)
-
-
-def spread(frame: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan over the cores when it has fewer splits than there are cores.
-
-    A large table already has many splits and is returned as it is, so this never
-    adds a shuffle at scale.  Call it on plain scans only.
-    """
-    width = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= width:
-        return frame
-    return frame.repartition(width, *keys)

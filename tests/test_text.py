@@ -10,16 +10,24 @@ def one(spark, column, text="x"):
     return spark.createDataFrame([(text,)], "t string").select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize("words, parts", [(0, 1), (220, 1), (221, 2), (400, 3), (5000, 24)])
+@pytest.mark.parametrize("words, parts", [(0, 1), (220, 1), (221, 2), (400, 3), (5000, 28)])
 def test_chunk_counts(spark, words, parts):
     text = " ".join(f"w{i}" for i in range(words))
     chunks = one(spark, tx.chunks(F.col("t")), text)
     starts = range(0, words, 180)
-    wanted = [" ".join(f"w{i}" for i in range(s, min(s + 220, words))) for s in starts][:24]
+    wanted = [" ".join(f"w{i}" for i in range(s, min(s + 220, words))) for s in starts]
     assert len(chunks) == parts
     assert chunks == (wanted if words > 220 else [text])
 
 
+def test_words_far_behind_move_the_vector(spark):
+    from clauseloom.operators import embed
+
+    near, far = "alpha beta gamma " * 2000, "zzz qqq " * 3000
+    vectors = [one(spark, embed.encode_column(F.col("t"), embed.letter_profile), t) for t in (near, near + far)]
+    assert sum(a * b for a, b in zip(*vectors)) < 0.99
+
+
 def test_measurements_follow_the_number_rules(spark):
     bump = tx.measurements_bumped(F.col("t"))
     assert one(spark, bump, "a 600mm gap and 30 minutes") == "a 750mm gap and 38 minutes"
