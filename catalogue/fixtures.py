@@ -206,9 +206,8 @@ def numbered_text(text: Column, doc_id: Column) -> Column:
     def numbered(line: Column, i: Column) -> Column:
         p = i - shift
         k, r = F.floor(p / 12) + 1, p % 12
-        heading = F.when(k % 2 == 1, F.substring(line, 1, 40)).otherwise(line)
         return (F.when((p < 0) | (p >= 1188), line)
-                .when(r == 0, F.concat(F.lit("Section "), k, F.lit(" "), heading))
+                .when(r == 0, F.concat(F.lit("Section "), k, F.lit(" "), line))
                 .when(r == 5, F.concat(F.lit("Table "), k, F.lit(" "), line))
                 .when(r.isin(1, 3, 7, 9), F.concat(k, F.lit("."), r, F.lit(" "), line))
                 .when(r == 10, F.concat(F.lit("(a) "), line))
@@ -229,8 +228,7 @@ placed AS (SELECT doc_id, i, line, i - CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 EN
   FROM raw_lines),
 numbered AS MATERIALIZED (SELECT doc_id, i AS pos, CASE
     WHEN p < 0 OR p >= 1188 THEN line
-    WHEN p % 12 = 0 THEN 'Section ' || (p // 12 + 1) || ' ' ||
-      CASE WHEN (p // 12 + 1) % 2 = 1 THEN substr(line, 1, 40) ELSE line END
+    WHEN p % 12 = 0 THEN 'Section ' || (p // 12 + 1) || ' ' || line
     WHEN p % 12 = 5 THEN 'Table ' || (p // 12 + 1) || ' ' || line
     WHEN p % 12 IN (1, 3, 7, 9) THEN (p // 12 + 1) || '.' || (p % 12) || ' ' || line
     WHEN p % 12 = 10 THEN '(a) ' || line ELSE line END AS line FROM placed)

@@ -429,11 +429,10 @@ def perturb_clauses(spark, folder):
 
 
 @query("perturbation_sample", f"""WITH {SQL_MEASURED}
-SELECT least(120, count(*)) AS drawn, true AS long_enough FROM measured WHERE length(content) >= 200""")
+SELECT id FROM measured WHERE length(content) >= 200
+ORDER BY md5(CAST(id AS VARCHAR) || '-{fixed.SAMPLE_SEED}'), id LIMIT {fixed.PERTURB_SAMPLE}""")
 def perturbation_sample(spark, folder):
-    """The draw itself is by hash; its size and the length rule are checked."""
-    return perturbation.sample(_measured_clauses(spark, folder)).agg(
-        F.count("*").alias("drawn"), F.bool_and(F.length("content") >= 200).alias("long_enough"))
+    return perturbation.sample(_measured_clauses(spark, folder)).select("id")
 
 
 def _scored(spark, folder):
@@ -449,7 +448,7 @@ def perturbation_outcome(spark, folder):
 
 @query("perturbation_distributions")
 def perturbation_distributions(spark, folder):
-    drawn = perturbation.sample(_measured_clauses(spark, folder))
+    drawn = perturbation.long_enough(_measured_clauses(spark, folder))
     pairs = perturbation.perturbed(drawn)
     return perturbation.distributions(perturbation.measured(pairs, embed.letter_profile))
 

@@ -77,7 +77,6 @@ PERTURB_MIN_CHARS = 200
 PERTURB_SAMPLE = 120
 SAMPLE_SEED = 20260808
 SAMPLE_SIZE = 150
-SHEET_TEXT_CHARS = 1200
 WINDOW_FILLER = (
     " The fire and rescue service shall be provided with vehicle access "
     "to the perimeter of the building at all times."

@@ -168,8 +168,10 @@ def measurements_bumped(text: Column) -> Column:
     return F.when(text.rlike(MEASUREMENT) & (altered != text), altered)
 
 
-def clip(text: Column, limit: int) -> Column:
-    """Carriage returns out, cut to the limit with an ellipsis."""
+def clip(text: Column, limit: int | None) -> Column:
+    """Carriage returns out, cut to the limit, if there is one, with an ellipsis."""
     flat = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(" "))
+    if limit is None:
+        return flat
     return F.when(F.length(flat) <= limit, flat).otherwise(
         F.concat(F.substring(flat, 1, limit - 1), F.lit("…")))

@@ -34,7 +34,9 @@ def comparison_sides(comparisons: DataFrame, clauses: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("side"), F.col("version_v1").alias("version_id")),
         F.struct(F.lit(2).alias("side"), F.col("version_v2").alias("version_id")),
     )).alias("s")).select("comparison_id", "s.*")
-    return wanted.join(with_position(clauses), "version_id")
+    # only wanted versions are ordered
+    compared = clauses.join(wanted.select("version_id").distinct(), "version_id", "left_semi")
+    return wanted.join(with_position(compared), "version_id")
 
 
 def identifier_overlap(sides: DataFrame) -> DataFrame:

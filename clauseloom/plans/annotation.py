@@ -19,7 +19,7 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
     Repeatable for a seed.  A comparison has at most two versions' worth of rows,
     which bounds the windows.
     """
-    drawn = rows.withColumn("_draw", F.xxhash64("row_index", F.lit(seed)))
+    drawn = rows.withColumn("_draw", F.xxhash64("comparison_id", "row_index", F.lit(seed)))
     within = Window.partitionBy("comparison_id", "change_type").orderBy("_draw", "row_index")
     ranked = drawn.withColumn("_rank", F.row_number().over(within))
     # every class present has exactly one row of rank one
@@ -36,8 +36,8 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
         "_draw", "_rank", "_spare", "_place")
 
 
-def sheet(drawn: DataFrame, limit: int = fixed.SHEET_TEXT_CHARS) -> DataFrame:
-    """The texts and empty label columns, nothing the system said."""
+def sheet(drawn: DataFrame, limit: int | None = None) -> DataFrame:
+    """The texts and empty label columns, nothing the system said; whole texts unless limited."""
     blank, none = F.lit(""), F.lit("")
     return drawn.select(
         "comparison_id", "id",

@@ -59,13 +59,14 @@ def term_rates(clauses: DataFrame, *by: str) -> DataFrame:
     clauses.  Instead of joining them, every clause is counted together with just
     as many characters behind it as a phrase could still need, less the phrases
     that lie in those characters alone.  A phrase of w words touches at most w - 1
-    following clauses.  ``by`` must include version_id; a version's clause cap
-    bounds the window.
+    following clauses.  ``by`` must include version_id, so a window is one version.
     """
     reach = max(len(term.split()) for _, term in _terms()) - 1
     order = Window.partitionBy(*by).orderBy("ordinal", "id")
     # an absent follower adds nothing, an empty one still adds its separator
-    following = [F.lead(F.concat(F.lit(" "), F.lower("content")), n).over(order)
+    # of a follower no more is kept than a phrase could still need
+    most = max(len(term) for _, term in _terms())
+    following = [F.lead(F.concat(F.lit(" "), F.substring(F.lower("content"), 1, most)), n).over(order)
                  for n in range(1, reach + 1)]
     ahead = reduce(F.concat, [F.coalesce(f, F.lit("")) for f in following])
     texts = clauses.select(*by, F.lower("content").alias("_text"), ahead.alias("_ahead"))
