@@ -161,12 +161,14 @@ def _check(keys: list[str], distance: int, bucket: int):
     return run
 
 
-def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, accept: int | None = None) -> DataFrame:
     """(a, b): links that span every group of fingerprints within the distance.
 
     ``fingerprints`` has one long column without repeats.  Distances up to 3 are served
-    by two segments.
+    by two segments: no such link is missed.  ``accept`` (at least the distance) also
+    takes pairs up to so many bits apart where a signature brings them together.
     """
+    accept = distance if accept is None else accept
     if not 0 <= distance <= 3:
         raise ValueError("two segments serve distances from 0 to 3")
     rows = fingerprints.toDF("fp").withColumn("rest", F.lit(0))
@@ -180,7 +182,7 @@ def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> D
         most = bucket if level < 2 else max(bucket, 1 << 11)
         checked = cut(
             rows.select(*keys, "rest", "fp").repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(_check(keys, distance, most), schema), "links")
+            .mapInArrow(_check(keys, accept, most), schema), "links")
         found.append(checked.where("not hot").select(F.col("fp").alias("a"), F.col("other").alias("b")))
         rows = checked.where("hot").select(*keys, "rest", "fp")
         if level == 2 or rows.isEmpty():
@@ -191,9 +193,9 @@ def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> D
     return out.distinct()
 
 
-def groups(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+def groups(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, accept: int | None = None) -> DataFrame:
     """(node, root) for every fingerprint that is linked with another one."""
-    return components(links(fingerprints, distance, bucket))
+    return components(links(fingerprints, distance, bucket, accept))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, doc_id: str = "doc_id",
@@ -215,10 +217,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, doc_id:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, doc_id: str = "doc_id",
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, accept: int = 8, doc_id: str = "doc_id",
              text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """The documents less near-duplicates: of each group the one with the least id stays.
 
+    Eight of 64 bits are an angle of 22.5 degrees, a cosine of 0.92, which sets of shingles
+    have when their Jaccard similarity is about 0.86: with the spread of fingerprints, few
+    pairs below 0.8 come that near.  All pairs within ``distance`` bits are found; of
+    those up to ``accept`` bits the ones that share a signature.
+
     All columns are kept.  Ties in the id are broken by the text's hash; of rows alike in
     both one stays.  Null ids come last.
     """
@@ -229,7 +236,7 @@ def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, doc_id: str = "
         fingerprint_column(column(docs, text), words).alias("fp"),
         column(docs, doc_id).alias("id"), F.col(id_key).alias("k1"), F.col(text_key).alias("k2")),
         "fingerprints")
-    roots = groups(narrow.select("fp").distinct(), distance, bucket)
+    roots = groups(narrow.select("fp").distinct(), distance, bucket, accept)
     stays = (
         narrow.join(roots, narrow.fp == roots.node, "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))

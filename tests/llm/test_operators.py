@@ -139,6 +139,21 @@ def test_keep_one(docs):
     assert 3 in ids and 4 not in ids  # empty texts are one group
 
 
+def test_keep_one_of_near_copies(spark):
+    """Copies with two of 400 words changed mostly go; texts of their own all stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(100):
+        own = [word() for _ in range(400)]
+        near = list(own)
+        for at in rng.sample(range(400), 2):
+            near[at] = word()
+        rows += [(i, " ".join(own)), (1000 + i, " ".join(near))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(100)) and len(kept) < 140
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = dict(map(tuple, components(chain).collect()))
