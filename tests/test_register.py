@@ -60,8 +60,9 @@ def test_no_heading_means_no_volume(spark):
     assert register.of_volume(frame, 2).count() == 1
 
 
-def test_long_sentences_are_not_instructions(spark):
-    assert amendments(spark, "Replace paragraph 1.1 " + "with words " * 40 + "today").count() == 0
+def test_long_instructions_and_ranges_are_whole(spark):
+    assert amendments(spark, "Replace paragraph 1.1 " + "with words " * 40 + "today").count() == 1
+    assert amendments(spark, "Delete paragraphs B1 to B60.").count() == 60
 
 
 def test_covers(spark):
