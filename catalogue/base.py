@@ -81,29 +81,11 @@ def sql_word_count(value: str) -> str:
 def sql_redline_counts(source: str, a: str, b: str, out: str) -> str:
     """Words removed, added and kept where one text is a beginning of the other.
 
-    ``source`` has both texts and their word counts w1 and w2.  The difference of the
-    counts, except for long texts: those are matched by sentence first, and a cut-off
-    last sentence that is too long for a word diff counts as replaced as a whole.
+    ``source`` has both texts and their word counts w1 and w2.
     """
-    def size(value: str) -> str:
-        return f"len({sql_tokens(value)})"
-
-    shorter = f"coalesce(length({a}) <= length({b}), true)"
     return f"""
-{out}_sorted AS (SELECT *, CASE WHEN {shorter} THEN {a} ELSE {b} END AS short_text,
-    CASE WHEN {shorter} THEN {b} ELSE {a} END AS long_text FROM {source}),
-{out}_lead AS (SELECT *, regexp_extract(short_text, '(?s)^.*([.;:!?]\\s|\\n)') AS lead FROM {out}_sorted),
-{out}_tail AS (SELECT *, substr(short_text, length(lead) + CASE WHEN lead = '' OR ends_with(lead, chr(10)) THEN 1 ELSE 0 END) AS short_tail,
-    substr(long_text, length(lead) + CASE WHEN lead = '' OR ends_with(lead, chr(10)) THEN 1 ELSE 0 END) AS long_tail FROM {out}_lead),
-{out}_whole AS (SELECT *, coalesce({a} <> {b} AND NOT regexp_matches(short_text, '[.;:!?\\n]\\z')
-    AND {size('short_text')} + {size('long_text')} > 1500
-    AND {size('short_tail')} + {size('long_tail')} > 1500, false) AS whole FROM {out}_tail),
-{out} AS (SELECT *, CASE WHEN NOT whole THEN greatest(w1 - w2, 0) WHEN {shorter} THEN {sql_token_count('short_tail')}
-      ELSE {sql_token_count('long_tail')} END AS words_removed,
-    CASE WHEN NOT whole THEN greatest(w2 - w1, 0) WHEN {shorter} THEN {sql_token_count('long_tail')}
-      ELSE {sql_token_count('short_tail')} END AS words_added,
-    CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 WHEN whole THEN least(w1, w2) - {sql_token_count('short_tail')}
-      ELSE least(w1, w2) END AS words_unchanged FROM {out}_whole)
+{out} AS (SELECT *, greatest(w1 - w2, 0) AS words_removed, greatest(w2 - w1, 0) AS words_added,
+    CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE least(w1, w2) END AS words_unchanged FROM {source})
 """
 
 

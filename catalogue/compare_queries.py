@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    documents, query, sql_escape, sql_jaccard, sql_redline_counts, sql_token_count,
+    documents, query, scratch, sql_escape, sql_jaccard, sql_redline_counts, sql_token_count,
     sql_token_set, table,
 )
 from catalogue.fixtures import (
@@ -16,6 +16,7 @@ from clauseloom.functions import text as tx
 from clauseloom.operators import align, redline, report
 from clauseloom.plans import compare
 from clauseloom.plans.evolution import consecutive
+from clauseloom.sources.library import write_csv
 
 # -- alignment ---------------------------------------------------------------
 
@@ -185,20 +186,41 @@ def align_semantic(spark, folder):
 
 # -- redline -----------------------------------------------------------------
 
-@query("redline_edits")
+@query("redline_edits", f"""
+WITH t AS (SELECT doc_id, {sql_token_count("coalesce(text, '')")} AS words_v1,
+    CAST(len(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]+'))) AS BIGINT) AS n FROM documents),
+gone AS (SELECT *, CAST(len(list_filter(range(n), lambda i: i % 11 = 5)) AS BIGINT) AS dropped,
+    CAST(len(list_filter(range(n), lambda i: i % 11 <> 5 AND i % 7 = 3)) AS BIGINT) AS swapped FROM t)
+SELECT doc_id, words_v1, true AS words_v2_agree, true AS left_rebuilds, true AS right_rebuilds,
+  dropped + swapped AS inner_removed, swapped AS inner_added, n - dropped - swapped AS inner_kept FROM gone""")
 def redline_edits(spark, folder):
-    """Real edits inside the text: words replaced, sentences dropped and swapped."""
-    d, text = F.col("doc_id"), F.col("text")
+    """Real edits inside the text: words replaced, sentences dropped and swapped.
+
+    Whatever a matcher pairs, both sides must add up and rebuild their texts.  The inner
+    counts are of the text's different words with every seventh replaced and every
+    eleventh dropped, where each matcher must agree.
+    """
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     edited = (F.when(d % 4 == 0, F.replace(F.replace(text, F.lit("and"), F.lit("or")), F.lit("the"), F.lit("this")))
               .when(d % 4 == 1, F.coalesce(tx.without_last_sentence(text), text))
               .when(d % 4 == 2, F.coalesce(tx.ends_swapped(text), text)).otherwise(text))
-    pairs = documents(spark, folder, "doc_id", "text").withColumn("edited", edited)
-    marked = redline.with_redline(pairs, "text", "edited")
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z]+)"), F.lit(1)))
+    swapped = F.filter(F.transform("words", lambda w, i: F.when(i % 11 == 5, F.lit(None)).when(
+        i % 7 == 3, F.concat(F.lit("q"), i.cast("string"), F.lit("q"))).otherwise(w)), lambda w: w.isNotNull())
+    pairs = documents(spark, folder, "doc_id", "text").select(
+        "doc_id", text.alias("text"), edited.alias("edited"), words.alias("words")).withColumns({
+            "inner_v1": F.array_join("words", " "), "inner_v2": F.array_join(swapped, " ")}).drop("words")
+    marked = redline.with_redline(pairs, "text", "edited", by=["doc_id"])
+    marked = redline.with_redline(marked, "inner_v1", "inner_v2", out="inner", by=["doc_id"])
     bare = lambda html: F.regexp_replace(html, "</?(?:del|ins)[^>]*>", "")
+    r = lambda part: F.col(f"redline.words_{part}")
     return marked.select(
-        "doc_id", "redline.words_removed", "redline.words_added", "redline.words_unchanged",
-        (bare(F.col("redline.html_v1")) == markup.escape(text)).alias("left_rebuilds"),
-        (bare(F.col("redline.html_v2")) == markup.escape(F.col("edited"))).alias("right_rebuilds"))
+        "doc_id", (r("removed") + r("unchanged")).alias("words_v1"),
+        (r("added") + r("unchanged") == tx.token_count(F.col("edited"))).alias("words_v2_agree"),
+        (bare(F.col("redline.html_v1")) == markup.escape(F.col("text"))).alias("left_rebuilds"),
+        (bare(F.col("redline.html_v2")) == markup.escape(F.col("edited"))).alias("right_rebuilds"),
+        F.col("inner.words_removed").alias("inner_removed"), F.col("inner.words_added").alias("inner_added"),
+        F.col("inner.words_unchanged").alias("inner_kept"))
 
 
 SQL_MARKED = f"""
@@ -405,18 +427,30 @@ def filter_report(spark, folder):
                               ("Unchanged", "Added")).select("comparison_id", "row_index", "label")
 
 
-@query("export_report", f"""WITH {SQL_REPORT}
+SQL_EXPORT = f"""WITH {SQL_REPORT}
 SELECT change_type AS "Change Type", coalesce(n1, '') AS "Old Clause",
   CASE WHEN c1 IS NULL THEN '' ELSE coalesce(s1, '') END AS "Old Section",
   coalesce(c1, '(not present)') AS "Old Text", coalesce(n2, '') AS "New Clause",
   CASE WHEN c2 IS NULL THEN '' ELSE coalesce(s2, '') END AS "New Section",
   coalesce(c2, '(not present)') AS "New Text",
   CASE WHEN similarity IS NULL THEN 'N/A' ELSE format('{{:.4f}}', round(similarity, 4)) END AS "Similarity",
-  'N/A' AS "Match Confidence", words_added AS "Words Added", words_removed AS "Words Removed" FROM rows""")
+  'N/A' AS "Match Confidence", words_added AS "Words Added", words_removed AS "Words Removed" FROM rows"""
+
+
+@query("export_report", SQL_EXPORT)
 def export_report(spark, folder):
     return report.export_rows(aligned_report(spark, folder), "Old", "New")
 
 
+@query("export_csv", SQL_EXPORT)
+def export_csv(spark, folder):
+    """The same rows written as CSV and read back."""
+    rows, path = export_report(spark, folder), scratch(spark, "export")
+    write_csv(rows, path)
+    return spark.read.schema(rows.schema).options(
+        header=True, multiLine=True, escape='"', nullValue="\x00").csv(path)
+
+
 # -- semantic comparison -----------------------------------------------------
 
 @query("compare_by_meaning", f"""WITH RECURSIVE {SQL_SEMANTIC_PAIRS},
@@ -442,3 +476,24 @@ def compare_mixed(spark, folder):
     rows = compare.compare(asked, sides.drop("comparison_id", "side"), letter_profile)
     return rows.groupBy("comparison_id", "match_method", "change_type").agg(
         F.count("*").alias("clauses"))
+
+
+@query("compare_frame_encoder", f"""WITH {SQL_REPORT}, t AS (SELECT comparison_id, row_index, label,
+    words_removed, words_added, words_unchanged, c1 IS NOT NULL AND c2 IS NOT NULL AS paired FROM rows)
+SELECT comparison_id, row_index, label, words_removed, words_added, words_unchanged, paired,
+  true AS same_similarity, true AS same_type FROM t""")
+def compare_frame_encoder(spark, folder):
+    """Numbers aligned, similarity by an encoder of chunk rows, held against the same encoder in the row."""
+    from clauseloom.operators.embed import letter_profile
+
+    sides = positioned_sides(spark, folder)
+    keys = ["comparison_id", "row_index"]
+    rows = compare.identifier_rows(
+        sides, lambda chunks: chunks.withColumn("vector", letter_profile(F.col("chunk"))), in_row=False)
+    plain = compare.identifier_rows(sides, letter_profile).select(
+        *keys, F.col("similarity_score").alias("s"), F.col("change_type").alias("t"))
+    return rows.join(plain, keys).select(
+        *keys, "label", "redline.words_removed", "redline.words_added", "redline.words_unchanged",
+        F.col("similarity_score").isNotNull().alias("paired"),
+        F.col("similarity_score").eqNullSafe(F.col("s")).alias("same_similarity"),
+        (F.col("change_type") == F.col("t")).alias("same_type"))

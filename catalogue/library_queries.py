@@ -7,7 +7,9 @@ from catalogue.fixtures import (
     SQL_COUNTRY_NAME, SQL_LIBRARY, library_clauses, library_documents, library_versions,
 )
 from clauseloom.operators.search import search
+from clauseloom.plans import ingest
 from clauseloom.sources import corpus, library
+from clauseloom.streaming.ingest import read_submissions, start_ingest
 
 # -- sources -----------------------------------------------------------------
 
@@ -318,6 +320,56 @@ def library_store(spark, folder):
         F.count("*").alias("clauses"), F.sum(F.length("content")).alias("characters"))
 
 
+def _submissions(spark, folder, delivery, only="true"):
+    """Every document as an edition, closed by a paragraph that tells its delivery."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(
+        f"\n9.{delivery} This paragraph came with delivery {delivery} of the same edition of the guide, at its end."))
+    return documents(spark, folder, "doc_id", "text").filter(only).select(
+        F.concat(F.lit("Guide "), "doc_id").alias("document_name"), F.lit("v1").alias("version_label"),
+        F.lit("EW").alias("country_code"), text.alias("text"),
+        F.lit(None).cast("string").alias("description"), F.lit("Publisher").alias("publisher"),
+        F.lit("texts").alias("source_file"), F.lit(delivery).alias("page_count"),
+        F.timestamp_seconds(F.lit(delivery)).alias("uploaded_at"))
+
+
+@query("stream_ingest", """
+SELECT 'Guide ' || doc_id AS name, CASE WHEN doc_id % 10 = 0 THEN 3 WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS delivery,
+  true AS as_batch FROM documents""")
+def stream_ingest(spark, folder):
+    """Three deliveries through the stream, the last by a stream begun anew, held against one batch."""
+    deliveries = [_submissions(spark, folder, 1), _submissions(spark, folder, 2, "doc_id % 5 = 0"),
+                  _submissions(spark, folder, 3, "doc_id % 10 = 0")]
+    store = library.LibraryStore(spark, scratch(spark, "library"))
+    boxes, marks = [scratch(spark, "inbox") for _ in range(2)], [scratch(spark, "stream") for _ in range(2)]
+    for delivery, at in zip(deliveries, (0, 0, 1)):
+        delivery.write.mode("append").parquet(boxes[at])
+        start_ingest(read_submissions(spark, boxes[at]), store.root, marks[at]).awaitTermination()
+    batch = library.LibraryStore(spark, scratch(spark, "library"))
+    everything = deliveries[0].unionByName(deliveries[1]).unionByName(deliveries[2])
+    batch.store(*ingest.library_rows(ingest.split_rejects(ingest.parse_submissions(everything))[0]), 1)
+
+    def editions(held, prefix):
+        digest = F.sum(F.xxhash64("ordinal", "clause_number", "title", "content", "section", "level").cast("decimal(38,0)"))
+        clauses = held.clauses().groupBy("version_id").agg(F.count("*").alias("n"), digest.alias("h"))
+        versions = held.versions().select(F.col("id").alias("version_id"), "document_id", "page_count")
+        return clauses.join(versions, "version_id").join(
+            held.documents().select(F.col("id").alias("document_id"), "name"), "document_id").select(
+            "name", F.col("page_count").alias("delivery"), F.struct("page_count", "n", "h").alias(prefix))
+
+    return editions(store, "a").join(editions(batch, "b").drop("delivery"), "name", "full").select(
+        "name", "delivery", F.col("a").eqNullSafe(F.col("b")).alias("as_batch"))
+
+
+@query("ingest_report", """
+SELECT 'Guide ' || doc_id AS document_name, 'EW' AS country_code, false AS country_detected,
+  true AS has_clauses FROM documents""")
+def ingest_report(spark, folder):
+    """What an ingest answers for every document."""
+    parsed, _ = ingest.split_rejects(ingest.parse_submissions(_submissions(spark, folder, 1)))
+    return ingest.ingest_report(parsed).select(
+        "document_name", "country_code", "country_detected", (F.col("clause_count") > 0).alias("has_clauses"))
+
+
 # -- search ------------------------------------------------------------------
 
 def _sql_search(pattern: str, extra: str, needle: str) -> str:

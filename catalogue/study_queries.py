@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    documents, query, sql_count_of, sql_describe, sql_f1, sql_strip, sql_word_count, table,
+    ORACLES, documents, query, scratch, sql_count_of, sql_describe, sql_f1, sql_strip, sql_word_count, table,
 )
 from catalogue.compare_queries import (
     SQL_REPORT, SQL_SEMANTIC_PAIRS, SQL_SUMMARY, aligned_report,
@@ -18,6 +18,7 @@ from clauseloom.session import cut
 from clauseloom.plans import (
     annotation, cross_country, evolution, localisation, perturbation, recovery,
 )
+from clauseloom.sources.library import write_study
 
 # -- registers ---------------------------------------------------------------
 
@@ -751,3 +752,11 @@ def specific_terms(spark, folder):
     found = cross_country.specific_terms(pooled, "place")
     return found.select("family", "term", F.array_join("used_by", ",").alias("used_by"),
                         F.array_join("absent_from", ",").alias("absent_from"))
+
+
+@query("study_json", ORACLES["jurisdiction_sizes"])
+def study_json(spark, folder):
+    """A study's result written as JSON lines and read back."""
+    result, path = jurisdiction_sizes(spark, folder), scratch(spark, "study")
+    write_study(result, path)
+    return spark.read.schema(result.schema).json(path)

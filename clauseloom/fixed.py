@@ -36,7 +36,6 @@ HEADER_REPEATS = 8
 NAVIGATION_MAX_WORDS = 40
 
 # Redline.
-WORD_DIFF_TOKENS = 1500
 DEL_OPEN = '<del class="rl-del">'
 DEL_CLOSE = "</del>"
 INS_OPEN = '<ins class="rl-ins">'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseloom.functions import markup
@@ -19,18 +21,19 @@ def _struct(html_v1: Column, html_v2: Column, unified: Column, removed: Column,
 
 
 def with_redline(pairs: DataFrame, left: str = "content_v1", right: str = "content_v2",
-                 out: str = "redline") -> DataFrame:
+                 out: str = "redline", by: Sequence[str] = ()) -> DataFrame:
     """Add the redline struct.
 
     Missing sides and equal texts are rendered in the JVM; only pairs that differ
-    are shipped to Python.  The pairs are spread over all partitions first.
+    are shipped to Python.  The pairs are spread over all partitions first, by the columns
+    ``by`` that tell them apart or else in turn: never by text, as many pairs may share one.
     """
     a, b = F.col(left), F.col(right)
     none, empty = F.lit(0), F.lit("")
     differing = a.isNotNull() & b.isNotNull() & (a != b)
     marked = redline_udf(F.when(differing, a), F.when(differing, b))
     return (
-        fan_out(pairs, F.xxhash64(a, b))
+        fan_out(pairs, *[F.col(c) for c in by])
         .withColumn("_diff", marked)
         .withColumn(out, F.when(differing, F.col("_diff"))
                     .when(a.isNull() & b.isNull(), _struct(empty, empty, empty, none, none, none))

@@ -49,18 +49,33 @@ def content_similarity(encoder: embed.ColumnEncoder | None) -> Column:
                                      embed.encode_column(b, encoder)))
 
 
-def identifier_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None = None,
-                    unified: bool = False) -> DataFrame:
+def _encoded_similarity(joined: DataFrame, sides: DataFrame, encoder: embed.FrameEncoder) -> DataFrame:
+    """Add the cosine of paired contents, each clause's chunks encoded once as rows."""
+    vectors = embed.encode_frame(sides.filter("content IS NOT NULL"), ["comparison_id", "side", "idx"],
+                                 F.col("content"), encoder)
+    for side in (1, 2):
+        own = vectors.filter(F.col("side") == side).select(
+            "comparison_id", F.col("idx").alias(f"index_v{side}"), F.col("vector").alias(f"_vector{side}"))
+        joined = joined.join(own, ["comparison_id", f"index_v{side}"], "left")
+    both = F.col("_vector1").isNotNull() & F.col("_vector2").isNotNull()
+    return joined.withColumn("similarity", F.when(both, embed.cosine(
+        F.col("_vector1"), F.col("_vector2")))).drop("_vector1", "_vector2")
+
+
+def identifier_rows(sides: DataFrame, encoder: embed.ColumnEncoder | embed.FrameEncoder | None = None,
+                    unified: bool = False, in_row: bool = True) -> DataFrame:
     """Report rows of comparisons aligned by clause number."""
     pairs = align.reading_order(align.align_by_identifier(sides))
     joined = report.attach_sides(pairs, sides)
+    if not in_row:
+        return report.build_rows(_redlined(_encoded_similarity(joined, sides, encoder)), unified)
     # similarity behind the redline, where the pairs are spread over all partitions
     redlined = _redlined(joined).withColumn("similarity", content_similarity(encoder))
     return report.build_rows(redlined, unified)
 
 
-def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None,
-                  unified: bool = False, **limits: int) -> DataFrame:
+def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | embed.FrameEncoder | None,
+                  unified: bool = False, in_row: bool = True, **limits: int) -> DataFrame:
     """Report rows of comparisons aligned by meaning; similarity is the alignment's cosine.
 
     ``sides`` may bring its own ``vector`` column; otherwise the encoder supplies it.
@@ -69,7 +84,8 @@ def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None,
         text = alignment_text(F.col("section"), F.col("title"), F.col("content"))
         # encoded once; alignment reads the written copy several times
         spread_sides = fan_out(sides, F.col("comparison_id"), F.col("side"), F.col("idx"))
-        sides = cut(spread_sides.withColumn("vector", embed.encode_column(text, encoder)))
+        sides = cut(embed.with_vector(spread_sides, ["comparison_id", "side", "idx"], text, encoder,
+                                      in_row=in_row))
     pairs = align.reading_order(align.align_semantic(sides, **limits))
     joined = report.attach_sides(pairs, sides)
     redlined = _redlined(joined.withColumn("similarity", F.col("embedding_score")))
@@ -78,18 +94,21 @@ def semantic_rows(sides: DataFrame, encoder: embed.ColumnEncoder | None,
 
 def _redlined(joined: DataFrame) -> DataFrame:
     texts = joined.withColumn("_a", F.col("v1.content")).withColumn("_b", F.col("v2.content"))
-    return with_redline(texts, "_a", "_b").drop("_a", "_b")
+    return with_redline(texts, "_a", "_b", by=["comparison_id", "row_index"]).drop("_a", "_b")
 
 
-def compare(comparisons: DataFrame, clauses: DataFrame, encoder: embed.ColumnEncoder,
-            unified: bool = False) -> DataFrame:
-    """Rows of every comparison, each aligned by the method chosen for it."""
+def compare(comparisons: DataFrame, clauses: DataFrame, encoder: embed.ColumnEncoder | embed.FrameEncoder,
+            unified: bool = False, in_row: bool = True) -> DataFrame:
+    """Rows of every comparison, each aligned by the method chosen for it.
+
+    An encoder of chunk rows (a model, hashed terms) is passed with ``in_row=False``.
+    """
     accepted, _ = split_rejects(comparisons, clauses)
     sides = align.comparison_sides(accepted, clauses)
     methods = with_strategy(accepted, sides).select("comparison_id", "method")
     chosen = cut(sides.join(methods, "comparison_id"))
     numbered = identifier_rows(
-        chosen.filter(F.col("method") == fixed.IDENTIFIER).drop("method"), encoder, unified)
+        chosen.filter(F.col("method") == fixed.IDENTIFIER).drop("method"), encoder, unified, in_row)
     meant = semantic_rows(
-        chosen.filter(F.col("method") == fixed.SEMANTIC).drop("method"), encoder, unified)
+        chosen.filter(F.col("method") == fixed.SEMANTIC).drop("method"), encoder, unified, in_row)
     return numbered.unionByName(meant)

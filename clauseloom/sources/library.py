@@ -284,7 +284,8 @@ class LibraryStore:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "quoteAll", False).csv(path)
+        "quoteAll", False).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_study(result: DataFrame, path: str) -> None:

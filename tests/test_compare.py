@@ -62,6 +62,25 @@ def test_panes_rebuild_long_texts():
     assert removed > 0 and added > 0 and kept > 0
 
 
+@pytest.mark.parametrize("n, every", [(800, 800), (3000, 20), (3000, 7)])
+def test_long_texts_are_compared_word_by_word(n, every):
+    old = [f"w{i}" for i in range(n)]
+    new = ["changed" if i % every == every // 2 else w for i, w in enumerate(old)]
+    changed = n // every
+    counts = diff.redline(" ".join(old), " ".join(new))[3:]
+    assert abs(counts[0] - changed) <= 1 and counts == (counts[0], counts[0], n - counts[0])
+
+
+def test_long_texts_match_like_the_standard_matcher():
+    rng = random.Random(11)
+    for kinds in (3, 50, 2000):
+        old = [f"w{rng.randrange(kinds)}" for _ in range(1200)]
+        new = [w if rng.random() > 0.1 else f"w{rng.randrange(kinds)}" for w in old]
+        new[300:300] = old[700:800]
+        a, b = " ".join(old), " ".join(new)
+        assert diff.redline(a, b)[3:] == plain_redline_counts(a, b)
+
+
 def test_redline_table(spark):
     rng = random.Random(5)
     rows = [(0, None, None), (1, "only old", None), (2, None, "only < new"), (3, "same", "same"),
