@@ -89,6 +89,25 @@ def sql_redline_counts(source: str, a: str, b: str, out: str) -> str:
 """
 
 
+def sql_letter_vectors(source: str, key: str, text: str) -> str:
+    """CTEs that end in ``encoded`` (key, vector): letter counts of chunks, pooled per text."""
+    return f"""
+worded AS (SELECT {key} AS key, {text} AS body, {sql_words(text)} AS w FROM {source}),
+chunked AS (SELECT key, CASE WHEN len(w) = 0 THEN [''] WHEN len(w) <= 220 THEN [body]
+    ELSE list_transform(range(0, len(w), 180), lambda s: array_to_string(w[s + 1:s + 220], ' ')) END AS parts FROM worded),
+chunks AS (SELECT key, lower(unnest(parts)) AS chunk, generate_subscripts(parts, 1) AS part FROM chunked),
+letters AS (SELECT chr(97 + CAST(i AS INTEGER)) AS letter FROM range(26) r(i)),
+counts AS (SELECT key, part, letter, CAST(length(chunk) - length(replace(chunk, letter, '')) AS DOUBLE) AS n
+  FROM chunks CROSS JOIN letters),
+part_units AS (SELECT key, letter, CASE WHEN sum(n * n) OVER p > 0 THEN n / sqrt(sum(n * n) OVER p) ELSE n END AS x
+  FROM counts WINDOW p AS (PARTITION BY key, part)),
+sums AS (SELECT key, letter, sum(x) AS x FROM part_units GROUP BY ALL),
+encoded AS MATERIALIZED (SELECT key, list(x ORDER BY letter) AS vector FROM (SELECT key, letter,
+    CASE WHEN sum(x * x) OVER d > 0 THEN x / sqrt(sum(x * x) OVER d) ELSE x END AS x
+  FROM sums WINDOW d AS (PARTITION BY key)) GROUP BY key)
+"""
+
+
 def sql_escape(value: str) -> str:
     return f"replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 

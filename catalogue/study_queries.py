@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    ORACLES, documents, query, scratch, sql_count_of, sql_describe, sql_f1, sql_strip, sql_word_count, table,
+    ORACLES, documents, query, scratch, sql_count_of, sql_describe, sql_f1, sql_letter_vectors, sql_strip, sql_word_count, table,
 )
 from catalogue.compare_queries import (
     SQL_REPORT, SQL_SEMANTIC_PAIRS, SQL_SUMMARY, aligned_report,
@@ -415,7 +415,7 @@ _M = "['0.6', '1.9', '3.1', '4.4', '5.6', '6.9', '8.1'][id % 7 + 1]"
 _SENT = "string_split(regexp_replace(content, '([.;])\\s+', '\\1' || chr(7), 'g'), chr(7))"
 
 
-@query("perturb_clauses", f"""WITH {SQL_MEASURED},
+SQL_ALTERED = f"""{SQL_MEASURED},
 split AS (SELECT *, {_SENT} AS s FROM measured),
 altered AS (
   SELECT id, 'identity' AS perturbation, 'Unchanged' AS expected, content AS original, content AS altered FROM split
@@ -423,8 +423,12 @@ altered AS (
     ' ' || (id % 7) || '.5 m.', ' ' || {_M} || ' m.') FROM split WHERE contains(content, ' mm or ')
   UNION ALL SELECT id, 'sentence_removed', NULL, content, array_to_string(s[1:len(s) - 1], ' ') FROM split WHERE len(s) >= 3
   UNION ALL SELECT id, 'sentence_reordered', 'Unchanged', content,
-    array_to_string(list_concat(list_concat([s[len(s)]], s[2:len(s) - 1]), [s[1]]), ' ') FROM split WHERE len(s) >= 3)
-SELECT id, perturbation, expected, altered FROM altered WHERE perturbation = 'identity' OR altered <> original""")
+    array_to_string(list_concat(list_concat([s[len(s)]], s[2:len(s) - 1]), [s[1]]), ' ') FROM split WHERE len(s) >= 3),
+edits AS MATERIALIZED (SELECT id, perturbation, expected, altered FROM altered WHERE perturbation = 'identity' OR altered <> original)
+"""
+
+
+@query("perturb_clauses", f"WITH {SQL_ALTERED} SELECT * FROM edits")
 def perturb_clauses(spark, folder):
     return perturbation.perturbed(_measured_clauses(spark, folder)).drop("original")
 
@@ -441,7 +445,18 @@ def _scored(spark, folder):
     return perturbation.measured(pairs, embed.letter_profile)
 
 
-@query("perturbation_outcome")
+# The unaltered text of an edit is the one of the identity.
+SQL_SCORED = f"""{SQL_ALTERED},
+{sql_letter_vectors("edits", "id || '/' || perturbation", "altered").strip()},
+alike AS (SELECT e.*, list_inner_product(a.vector, o.vector) AS similarity FROM edits e
+  JOIN encoded a ON a.key = id || '/' || perturbation JOIN encoded o ON o.key = id || '/identity'),
+scored AS MATERIALIZED (SELECT *, CASE WHEN similarity >= 0.95 THEN 'Unchanged' WHEN similarity >= 0.8 THEN 'Minor Edit'
+  ELSE 'Significant Change' END AS prediction FROM alike)
+"""
+
+
+@query("perturbation_outcome", f"""WITH {SQL_SCORED}
+SELECT perturbation, prediction, count(*) AS n FROM scored GROUP BY ALL""")
 def perturbation_outcome(spark, folder):
     """Classes by similarity alone for every perturbed clause of the library."""
     return perturbation.outcome(_scored(spark, folder))
@@ -454,13 +469,26 @@ def perturbation_distributions(spark, folder):
     return perturbation.distributions(perturbation.measured(pairs, embed.letter_profile))
 
 
-@query("perturbation_matrix")
+@query("perturbation_matrix", f"""WITH {SQL_SCORED},
+used AS (SELECT expected AS truth, prediction FROM scored WHERE expected IS NOT NULL),
+names AS (SELECT unnest(['Unchanged', 'Minor Edit', 'Significant Change', 'Added', 'Removed']) AS label),
+per AS (SELECT label, count(*) AS total, count(*) FILTER (WHERE truth = label AND prediction = label) AS tp,
+    count(*) FILTER (WHERE truth <> label AND prediction = label) AS fp,
+    count(*) FILTER (WHERE truth = label AND prediction <> label) AS fn FROM used CROSS JOIN names GROUP BY label),
+totals AS (SELECT max(total) AS total, sum(tp) AS hits, avg({_RAW}) FILTER (WHERE tp + fn > 0) AS macro,
+    sum({_RAW} * (tp + fn)) / sum(tp + fn) AS weighted,
+    sum((tp + fn) / CAST(total AS DOUBLE) * ((tp + fp) / CAST(total AS DOUBLE))) AS chance FROM per)
+SELECT total AS rows, round(CAST(hits AS DOUBLE) / total, 4) AS accuracy, round(macro, 4) AS macro_f1,
+  round(weighted, 4) AS weighted_f1, round(CASE WHEN chance >= 1 THEN 1.0 ELSE
+    (CAST(hits AS DOUBLE) / total - chance) / (1 - chance) END, 4) AS kappa FROM totals""")
 def perturbation_matrix(spark, folder):
     matrix = perturbation.expected_matrix(_scored(spark, folder))
     return metrics.matrix_scores(matrix, fixed.CHANGE_TYPES)
 
 
-@query("numeric_finding")
+@query("numeric_finding", f"""WITH {SQL_SCORED}
+SELECT count(*) AS pairs, round(CAST(count(*) FILTER (WHERE prediction = 'Unchanged') AS DOUBLE) / count(*), 4)
+  AS classified_unchanged_share FROM scored WHERE perturbation = 'numeric_values'""")
 def numeric_finding(spark, folder):
     return perturbation.numeric_finding(_scored(spark, folder))
 
@@ -473,7 +501,18 @@ def window_exposure(spark, folder):
     return perturbation.window_exposure(library_clauses(spark, folder), 180, "version_id")
 
 
-@query("append_curve")
+@query("append_curve", f"""WITH {SQL_LIBRARY},
+longest AS (SELECT version_id, content AS base FROM clauses
+  QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY length(content) DESC, id) = 1),
+steps AS (SELECT version_id, base, CAST(unnest({fixed.WINDOW_REPEATS}) AS INTEGER) AS repeats FROM longest),
+extended AS MATERIALIZED (SELECT *, base || repeat('{fixed.WINDOW_FILLER}', repeats) AS altered FROM steps),
+{sql_letter_vectors("extended", "version_id || '/' || repeats", "altered").strip()},
+curve AS (SELECT version_id, repeats, {sql_word_count('altered')} - {sql_word_count('base')} AS words_appended,
+    round(list_inner_product(a.vector, o.vector), 6) AS similarity FROM extended
+  JOIN encoded a ON a.key = version_id || '/' || repeats JOIN encoded o ON o.key = version_id || '/0'),
+fall AS (SELECT version_id, round(max(similarity) FILTER (WHERE repeats = 0) - max(similarity) FILTER (WHERE repeats = 40), 6)
+  AS "drop" FROM curve GROUP BY 1)
+SELECT c.*, "drop", "drop" < 0.005 AS blind FROM curve c JOIN fall USING (version_id)""")
 def append_curve(spark, folder):
     curve = perturbation.append_curve(library_clauses(spark, folder), embed.letter_profile,
                                       "version_id")
@@ -506,7 +545,18 @@ def annotation_quota(spark, folder):
         F.bool_and(F.col("n") >= quota).alias("quotas_met"))
 
 
-@query("annotation_sheet")
+@query("annotation_sheet", f"""WITH {SQL_REPORT},
+drawn_rows AS (SELECT *, md5(comparison_id || '-' || row_index || '-{fixed.SAMPLE_SEED}') AS draw FROM rows),
+placed_rows AS (SELECT *, row_number() OVER (PARTITION BY comparison_id, change_type ORDER BY draw, row_index) AS place FROM drawn_rows),
+row_quotas AS (SELECT comparison_id, greatest(1, 20 // count(DISTINCT change_type)) AS quota FROM rows GROUP BY 1),
+chosen_rows AS (SELECT r.* FROM placed_rows r JOIN row_quotas USING (comparison_id)
+  QUALIFY row_number() OVER (PARTITION BY comparison_id ORDER BY place > quota, draw, row_index) <= 20)
+SELECT comparison_id, row_number() OVER (PARTITION BY comparison_id ORDER BY md5(draw || '-{fixed.SAMPLE_SEED}'), row_index) - 1 AS id,
+  coalesce(n1, '') AS clause_v1, coalesce(n2, '') AS clause_v2, coalesce(nullif(s2, ''), nullif(s1, ''), '') AS section,
+  replace(coalesce(c1, ''), chr(13), ' ') AS text_v1, replace(coalesce(c2, ''), chr(13), ' ') AS text_v2, '' AS annotator_change_type, '' AS annotator_alignment_ok,
+  '' AS annotator_notes, change_type AS system_change_type, round(similarity, 4) AS system_similarity,
+  CAST(NULL AS DOUBLE) AS system_match_score, 'identifier' AS system_alignment_method, round(ratio, 4) AS word_change_ratio
+FROM chosen_rows""")
 def annotation_sheet(spark, folder):
     drawn = _sample(spark, folder)
     return annotation.sheet(drawn).join(annotation.answer_key(drawn), ["comparison_id", "id"])

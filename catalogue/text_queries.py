@@ -110,7 +110,8 @@ def encode_as_rows(spark, folder):
     return encoded.select("doc_id", F.round(dot(F.col("vector"), weights), 6).alias("weighted"))
 
 
-@query("encode_hashed_terms")
+@query("encode_hashed_terms", f"""
+SELECT doc_id, 256 AS width, CASE WHEN {sql_token_count('text')} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
 def encode_hashed_terms(spark, folder):
     from clauseloom.functions.vectors import dot
 

@@ -19,7 +19,8 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
     Repeatable for a seed.  A comparison has at most two versions' worth of rows,
     which bounds the windows.
     """
-    drawn = rows.withColumn("_draw", F.xxhash64("comparison_id", "row_index", F.lit(seed)))
+    drawn = rows.withColumn("_draw", F.md5(F.concat_ws(
+        "-", "comparison_id", "row_index", F.lit(seed)).cast("binary")))
     within = Window.partitionBy("comparison_id", "change_type").orderBy("_draw", "row_index")
     ranked = drawn.withColumn("_rank", F.row_number().over(within))
     # every class present has exactly one row of rank one
@@ -31,7 +32,7 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
     chosen = ranked.withColumn("_place", F.row_number().over(overall)).filter(
         F.col("_place") <= size)
     shuffle = Window.partitionBy("comparison_id").orderBy(
-        F.xxhash64("_draw", F.lit(seed)), "row_index")
+        F.md5(F.concat_ws("-", "_draw", F.lit(seed)).cast("binary")), "row_index")
     return chosen.withColumn("id", (F.row_number().over(shuffle) - 1).cast("long")).drop(
         "_draw", "_rank", "_spare", "_place")
 
