@@ -281,6 +281,24 @@ class LibraryStore:
         self.delete_versions(below, batch)
         self.append("documents", doomed.withColumn("deleted", F.lit(True)), batch)
 
+    def last_batch(self) -> int:
+        """The greatest batch number of any table, 0 in an empty store."""
+        numbers = self._log("documents", DOCUMENTS).select("batch").union(
+            self._log("versions", VERSIONS).select("batch")).union(
+            self._log("clauses", CLAUSES).select("batch"))
+        return numbers.agg(F.max("batch")).first()[0] or 0
+
+    def compacted(self, root: str) -> LibraryStore:
+        """A new store under ``root`` that holds the current state alone, as one batch.
+
+        The batch keeps the last number used, so later batches go on from there; the old
+        folder is left as it is.
+        """
+        fresh = LibraryStore(self.spark, root)
+        fresh.store(self.documents(), self.versions().drop("batch", "deleted"), self.clauses(),
+                    self.last_batch())
+        return fresh
+
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option(

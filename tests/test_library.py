@@ -12,7 +12,7 @@ from clauseloom.plans.ingest import (
     ingest_report, library_rows, parse_submissions, split_rejects,
 )
 from clauseloom.sources import corpus, library
-from clauseloom.streaming.ingest import SUBMISSIONS, read_submissions, start_ingest
+from clauseloom.streaming.ingest import SUBMISSIONS, first_batch, read_submissions, start_ingest
 
 BODY = "The building shall be designed so that there are provisions for early warning of fire."
 
@@ -69,6 +69,28 @@ def test_store_deletes_with_what_lies_below(spark, tmp_path):
     assert store.clauses().count() == 1
 
 
+def test_compacted_store_holds_the_same_and_goes_on(spark, tmp_path):
+    store = library.LibraryStore(spark, str(tmp_path / "old"))
+    for number, rows in enumerate([
+            [("A", "1", "SC", f"1.1 {BODY}", 1), ("B", "1", "SC", f"1.1 {BODY}", 1)],
+            [("A", "1", "SC", f"1.1 {BODY} Again.", 2)]], start=1):
+        store.store(*library_rows(split_rejects(parse_submissions(submissions(spark, *rows)))[0]), number)
+    store.delete_documents(store.documents().filter("name = 'B'"), 3)
+    small = store.compacted(str(tmp_path / "new"))
+    assert store.last_batch() == small.last_batch() == 3
+    assert state(small) == state(store) == [("A", "1", "SC", 1, f"{BODY} Again.")]
+    assert library.LibraryStore(spark, str(tmp_path / "none")).last_batch() == 0
+    small.delete_documents(small.documents(), 4)
+    assert state(small) == []
+
+
+def test_stream_batches_start_with_their_checkpoint(spark, tmp_path):
+    one, other = (str(tmp_path / name) for name in ("one", "other"))
+    start = first_batch(spark, one)
+    assert first_batch(spark, one) == start
+    assert first_batch(spark, other) > start + (1 << 20)
+
+
 def test_registry(spark):
     entries = corpus.registry_table(spark)
     assert entries.count() == 22 and corpus.open_entries(entries).count() == 19
