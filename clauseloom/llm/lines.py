@@ -5,21 +5,29 @@ lines put in or taken out elsewhere do not shift the chunks of a repeated passag
 chunk of several lines that occurs more than once, in any document, stays where it
 occurs first (least id, then place) and is removed elsewhere, once its bytes have been
 compared with those that stay.
+
+A passage that repeats need not hold a whole chunk.  So, if a least number of words is
+given, the same rule also takes every shortest run of whole lines that has so many words,
+from each line on and back from each line: together these cover any repeated passage of
+so many words to its last line, be it one long line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.store import column, cut, fresh, row_key
 
 #: A chunk ends behind a line with chance 1 / SPACING; it has at least LINES lines.
 SPACING, LINES = 3, 2
+#: Words that a repeated run of lines has at least in op5 and the pipeline.
+WORDS = 20
 
 
 def chunk_bounds(data: bytes, spacing: int = SPACING, least: int = LINES) -> list[tuple[int, int, int]]:
@@ -43,9 +51,37 @@ def chunk_bounds(data: bytes, spacing: int = SPACING, least: int = LINES) -> lis
     return out
 
 
-def _chunks(spacing: int, least: int):
+def runs_of_lines(data: bytes, words: int) -> set[tuple[int, int]]:
+    """(begin, end) of the shortest runs of lines with enough words, from and back from each line."""
+    ends, total = [0], [0]
+    for line in data.split(b"\n"):
+        ends.append(ends[-1] + len(line) + 1)
+        total.append(total[-1] + len(line.split()))
+    ends[-1] -= 1
+    out, last = set(), len(total) - 1
+    j = 0
+    for i in range(last):
+        while j < last and total[j] - total[i] < words:
+            j += 1
+        if total[j] - total[i] < words:
+            break
+        out.add((ends[i], ends[j]))
+    i = 0
+    for j in range(1, last + 1):
+        while total[j] - total[i + 1] >= words:
+            i += 1
+        if total[j] - total[i] >= words:
+            out.add((ends[i], ends[j]))
+    return out
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) * (h >> 63)
+
+
+def _chunks(spacing: int, least: int, words: int | None):
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("begin", pa.int32()),
-                        ("size", pa.int32()), ("h", pa.int64())])
+                        ("size", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,8 +91,10 @@ def _chunks(spacing: int, least: int):
                     if lines >= least:
                         # without the last line feed, which the end of a text lacks
                         body = data[begin:end].rstrip(b"\n")
-                        h = xxhash.xxh64_intdigest(body)
-                        out.append((k1, k2, begin, end - begin, h - (1 << 64) * (h >> 63)))
+                        out.append((k1, k2, begin, end - begin, _signed(xxhash.xxh64_intdigest(body)), None))
+                for begin, end in runs_of_lines(data, words) if words else ():
+                    h = xxhash.xxh3_128_intdigest(data[begin:end].rstrip(b"\n"))
+                    out.append((k1, k2, begin, end - begin, _signed(h >> 64), _signed(h & 0xFFFFFFFFFFFFFFFF)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -64,26 +102,55 @@ def _chunks(spacing: int, least: int):
     return run
 
 
+def _merge(spans: list) -> list[dict[str, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[dict[str, int]] = []
+    for begin, size in sorted((m["begin"], m["size"]) for m in spans):
+        if out and begin <= out[-1]["begin"] + out[-1]["size"]:
+            out[-1]["size"] = max(out[-1]["size"], begin + size - out[-1]["begin"])
+        else:
+            out.append({"begin": begin, "size": size})
+    return out
+
+
+def _merged(marks: Column) -> Column:
+    @F.pandas_udf("array<struct<begin:int,size:int>>")
+    def merged(spans: pd.Series) -> pd.Series:
+        return spans.map(_merge)
+
+    return merged(marks)
+
+
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               spacing: int = SPACING, least: int = LINES) -> DataFrame:
+               spacing: int = SPACING, least: int = LINES, words: int | None = None) -> DataFrame:
     """The documents with repeated chunks removed: all columns, and (n_chunks, n_removed).
 
     The two counts, named so or, if taken, with an underscore added, tell how many chunks
     of several lines a text has and how many were removed.  A null text stays null.  Rows
     alike in id and text are one place: they keep or lose the same chunks.
+
+    With ``words``, repeated runs of lines of at least so many words go too (told by 128
+    bits of hash), chunk or not.  A run that overlaps its own first occurrence loses only
+    what lies behind that one, so the first stays whole unless others hold parts of it.
     """
     a, b, data = (fresh(x, docs) for x in ("k1", "k2", "data"))
     n_chunks, n_removed, marks = (fresh(x, docs) for x in ("n_chunks", "n_removed", "marks"))
     k1, k2 = row_key(column(docs, doc_id), column(docs, text))
     keyed = docs.withColumns({a: k1, b: k2})
-    chunks = cut(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), F.coalesce(
+    spans = cut(keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), F.coalesce(
         column(docs, text), F.lit("")).cast("binary").alias("data"))
-        .mapInArrow(_chunks(spacing, least), "k1 long, k2 long, begin int, size int, h long"), "chunks").distinct()
+        .mapInArrow(_chunks(spacing, least, words),
+                    "k1 long, k2 long, begin int, size int, h long, g long"), "chunks")
     place = F.struct("k1", "k2", "begin")
-    again = (chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-             .where("n > 1").select("h", "first"))
-    hits = chunks.join(again, "h").select("k1", "k2", F.struct(
-        "begin", "size", "h", (place == F.col("first")).alias("stays")).alias("mark"))
+
+    def repeated(rows: DataFrame, *by: str) -> DataFrame:
+        first = (rows.groupBy(*by).agg(F.min(F.struct("k1", "k2", "begin", "size")).alias("first"), F.max(place).alias("last"))
+                 .where("first.k1 <> last.k1 or first.k2 <> last.k2 or first.begin <> last.begin").drop("last"))
+        return rows.join(first, [*by])
+
+    chunks = spans.where("g is null").drop("g").distinct()
+    hits = repeated(chunks, "h").select("k1", "k2", F.struct(
+        "begin", "size", "h", (place == F.struct("first.k1", "first.k2", "first.begin")).alias("stays")).alias("mark"))
     per = hits.groupBy("k1", "k2").agg(F.collect_list("mark").alias("mark"))
     # the bytes of the repeated chunks alone, to compare them
     body = keyed.select(F.col(a).alias("k1"), F.col(b).alias("k2"), column(docs, text).cast("binary").alias("data")) \
@@ -93,11 +160,22 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 F.rtrim(F.expr("substring(data, m.begin + 1, m.size)").cast("string"), F.lit("\n")).alias("body"))
     body = cut(body, "bodies")
     stay = body.where("stays").groupBy("h").agg(F.min("body").alias("kept_body"))
-    gone = (body.where("not stays").join(stay, "h").where("body = kept_body")
-            .groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "size")).alias(marks)))
+    gone = body.where("not stays").join(stay, "h").where("body = kept_body").select(
+        "k1", "k2", "begin", "size", F.lit(True).alias("chunk"))
+    if words:
+        own = F.expr("k1 = first.k1 and k2 = first.k2")
+        begin = F.when(own, F.greatest("begin", F.expr("first.begin + first.size"))).otherwise(F.col("begin"))
+        gone = gone.union(
+            repeated(spans.where("g is not null"), "h", "g").where(place != F.struct("first.k1", "first.k2", "first.begin"))
+            .select("k1", "k2", begin.alias("from"), (F.col("begin") + F.col("size")).alias("end")).where("from < end")
+            .select("k1", "k2", "from", (F.col("end") - F.col("from")).alias("size"), F.lit(False)))
+    span = F.struct("begin", "size")
+    gone = gone.groupBy("k1", "k2").agg(F.collect_set(span).alias(marks), F.collect_set(F.when(F.col("chunk"), span)).alias("whole"))
     total = chunks.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    gone = total.join(gone, ["k1", "k2"], "left").select(
-        F.col("k1").alias(a), F.col("k2").alias(b), F.col("n").alias(n_chunks), F.array_sort(marks).alias(marks))
+    gone = total.join(gone, ["k1", "k2"], "full").select(
+        F.col("k1").alias(a), F.col("k2").alias(b), F.col("n").alias(n_chunks), marks,
+        F.size("whole").alias(n_removed)).withColumn(marks, F.when(F.col(marks).isNotNull(), _merged(F.coalesce(
+            F.col(marks), F.array().cast("array<struct<begin:int,size:int>>")))))
     joined = keyed.join(gone, [a, b], "left").withColumn(data, column(docs, text).cast("binary"))
 
     def quoted(name: str) -> str:
@@ -109,9 +187,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           (s, m) -> struct(concat(s.got, substring({quoted(data)}, s.at + 1, m.begin - s.at)) as got,
                            m.begin + m.size as at),
           s -> cast(concat(s.got, substring({quoted(data)}, s.at + 1)) as string))""")
-    size = F.coalesce(F.size(marks), F.lit(0))
     return joined.select(
         *[F.when(F.col(marks).isNull(), column(docs, c)).otherwise(kept).alias(c)
           if c == text else column(docs, c) for c in docs.columns],
         F.coalesce(F.col(n_chunks), F.lit(0)).cast("long").alias(n_chunks),
-        F.when(F.col(marks).isNull(), F.lit(0)).otherwise(size).cast("long").alias(n_removed))
+        F.when(F.col(marks).isNull(), F.lit(0)).otherwise(F.col(n_removed)).cast("long").alias(n_removed))

@@ -61,7 +61,7 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    return lines.line_dedup(_table(spark, folder, "documents").select("doc_id", "text"), words=lines.WORDS)
 
 
 @query("op6_nearest_neighbours")

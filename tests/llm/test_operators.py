@@ -329,6 +329,24 @@ def test_chunks_do_not_shift(spark):
     assert len(out[2]["text"]) < len(passage) / 3 and out[2]["n_removed"] > 3
 
 
+def test_passages_that_hold_no_chunk(spark):
+    """Repeated passages of one to four lines go whole, wherever chunks end."""
+    rng = random.Random(2)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = "\n".join(line(-(-60 // (1 + i % 4))) for _ in range(1 + i % 4))
+        rows += [(i, f"{line(30)}\n{passage}\n{line(30)}"), (1000 + i, f"{line(9)}\n{line(30)}\n{passage}\n{line(30)}")]
+    rows.append((3000, "\n".join(["five words are in this"] * 50)))  # its own copies
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.line_dedup(frame, words=lines.WORDS).collect()}
+    text = dict(rows)
+    for i in range(60):
+        own = text[1000 + i].split("\n")
+        assert out[i] == text[i] and out[1000 + i] == "\n".join(own[:2] + own[-1:])
+    assert out[3000].strip("\n").split("\n") == ["five words are in this"] * 2  # its first chunk
+
+
 # -- nearest neighbours -------------------------------------------------------
 
 def test_recall(spark):
