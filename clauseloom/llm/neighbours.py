@@ -4,7 +4,11 @@ A vector is represented by its nearest pivots in order.  Each block of vectors k
 inverted file: for every pivot, the vectors that have it among their nearest, with its
 place.  A query walks the lists of its own pivots, which gives the footrule distance
 between the two orders (a pivot that is missing counts as one place past the last), and
-the best of a block by footrule are reranked by the cosine of the original vectors.
+the best of a block by footrule, with all that tie with the last of them, are reranked by
+the cosine of the original vectors.
+
+Equal vectors are indexed once, with the least ids of the rows that hold them, so that
+copies neither fill the list to rerank nor lose their place in it.
 
 Vectors and queries are dealt into blocks of bounded size and every block of queries
 meets every block of vectors, so each task is bounded whatever the tables hold.
@@ -68,18 +72,22 @@ def _search(pivots: np.ndarray, nearest: int, k: int, rerank: float):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            rows = rows.sort_values("vec_id", kind="stable")
-            ids, vectors = rows["vec_id"].to_numpy(), _units(np.stack(rows["vector"].to_numpy()))
+            ids, vectors = rows["ids"].to_numpy(), _units(np.stack(rows["vector"].to_numpy()))
+            least, many = np.array([x[0] for x in ids]), np.array([len(x) for x in ids])
             file = InvertedFile(orders(vectors, pivots, nearest), len(pivots))
             asked = _units(np.stack(queries["vector"].to_numpy()))
             count = min(len(ids), max(8 * k, int(np.ceil(rerank * len(ids)))))
             for q, vector, order in zip(queries["vec_id"].tolist(), asked, orders(asked, pivots, nearest)):
                 far = file.footrule(order)
-                near = np.argpartition(far, count - 1)[:count] if count < len(far) else np.arange(len(far))
-                near = near[ids[near] != q]
+                near = np.flatnonzero((far <= np.partition(far, count - 1)[count - 1]) & ~((many == 1) & (least == q)))
+                if not len(near):
+                    continue
                 score = vectors[near] @ vector
-                best = np.lexsort((ids[near], -score))[:k]
-                out += [(q, i, s) for i, s in zip(ids[near[best]].tolist(), score[best].tolist())]
+                # the k best different vectors and what ties with them hold the k best rows
+                most = min(k, len(near))
+                best = np.flatnonzero(score >= -np.partition(-score, most - 1)[most - 1])
+                found = [(-score[b], i) for b in best.tolist() for i in ids[near[b]].tolist() if i != q]
+                out += [(q, i, -s) for s, i in sorted(found)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -136,18 +144,24 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50, vec_id: st
         data = data.where(F.size("vector") == usual["n"])
     queries = data.where(F.pmod("vec_id", F.lit(every)) == 0)
     n = data.count()
+    # of the rows that hold a vector no answer takes more than k, besides the query itself
+    alike = Window.partitionBy("vector").orderBy("vec_id")
+    heads = cut(data.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1)
+                .groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+                .withColumn("vec_id", F.col("ids")[0]), "heads")
+    different = heads.count()
     # small tables get so few pivots that every two orders share one
-    many = max(1, min(pivots, n, max(nearest, n // 16)))
-    sample = [r[0] for r in data.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(many)
+    many = max(1, min(pivots, different, max(nearest, different // 16)))
+    sample = [r[0] for r in heads.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(many)
               .select("vector").collect()]
     fitted = _units(np.array(sample)) if sample else np.zeros((1, 1))
-    found = _meet(queries, data, _search(fitted, nearest, k, rerank), block, query_block)
+    found = _meet(queries, heads, _search(fitted, nearest, k, rerank), block, query_block)
     found = cut(_best(found, k), "found")
     have = found.groupBy("query_id").count()
     short = queries.join(have.where(F.col("count") >= min(k, n - 1)), queries.vec_id == have.query_id, "left_anti")
     short = cut(short, "short")
     if n > 1 and not short.isEmpty():
-        again = _best(_meet(short, data, _exact(k), block, query_block), k)
+        again = _best(_meet(short, heads, _exact(k), block, query_block), k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti") \
             .select("query_id", "vec_id", "score", "rank").union(again.select("query_id", "vec_id", "score", "rank"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -371,6 +371,30 @@ def test_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("block", [8192, 1000])
+def test_recall_beside_copies(spark, block):
+    """A third of the rows are equal; some queries are copies, others lie near them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 24))
+    x[::3] = x[0]
+    near = (np.arange(6000) % 20 == 10) & (np.arange(6000) % 3 > 0)
+    x[near] = x[0] + 0.3 * rng.normal(size=(near.sum(), 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(frame, block=block).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for q in range(0, 6000, 50):
+        if q % 3 == 0:
+            assert got[q] == [i for i in range(0, 21, 3) if i != q][:5]
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -9
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(6000), -score))[:5].tolist()))
+        total += 5
+    assert hits / total >= 0.97
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]),
