@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.graph import components
-from clauseloom.llm.store import column, cut, fresh, row_key
+from clauseloom.llm.minhash import keep_one  # noqa: F401  the pipeline's method, once in this module
+from clauseloom.llm.store import column, cut
 
 SEED = 42
 #: Fingerprints of one bucket that a task holds at once; larger buckets are split.
@@ -215,33 +216,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, doc_id:
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, accept: int = 8, doc_id: str = "doc_id",
-             text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """The documents less near-duplicates: of each group the one with the least id stays.
-
-    Eight of 64 bits are an angle of 22.5 degrees, a cosine of 0.92, which sets of shingles
-    have when their Jaccard similarity is about 0.86: with the spread of fingerprints, few
-    pairs below 0.8 come that near.  All pairs within ``distance`` bits are found; of
-    those up to ``accept`` bits the ones that share a signature.
-
-    All columns are kept.  Ties in the id are broken by the text's hash; of rows alike in
-    both one stays.  Null ids come last.
-    """
-    fp, id_key, text_key = (fresh(n, docs) for n in ("fp", "id_key", "text_key"))
-    first, second = row_key(column(docs, doc_id), column(docs, text))
-    keyed = docs.withColumns({id_key: first, text_key: second})
-    narrow = cut(keyed.select(
-        fingerprint_column(column(docs, text), words).alias("fp"),
-        column(docs, doc_id).alias("id"), F.col(id_key).alias("k1"), F.col(text_key).alias("k2")),
-        "fingerprints")
-    roots = groups(narrow.select("fp").distinct(), distance, bucket, accept)
-    stays = (
-        narrow.join(roots, narrow.fp == roots.node, "left")
-        .groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2")).alias("m"))
-        .select(F.col("m.k1").alias(id_key), F.col("m.k2").alias(text_key))
-    )
-    return (keyed.join(stays, [id_key, text_key], "left_semi")
-            .dropDuplicates([id_key, text_key]).select(*[column(docs, c) for c in docs.columns]))

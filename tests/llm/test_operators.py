@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clauseloom.llm import exact, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
+from clauseloom.llm import exact, lines, minhash, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
 from clauseloom.llm.graph import components
 from clauseloom.llm.queries import tokenizer_path
 from clauseloom.llm.store import new_path
@@ -154,6 +154,26 @@ def test_keep_one_of_near_copies(spark):
     assert kept >= set(range(100)) and len(kept) < 165
 
 
+def test_keep_one_by_jaccard(spark):
+    """All pairs at 0.8 or more go and none below, whatever else shares their buckets."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, goes = [], set()
+    for i in range(150):
+        own = [word() for _ in range(300)]
+        near = list(own)
+        for at in rng.sample(range(300), (2, 4, 6, 9, 14)[i % 5]):
+            near[at] = word()
+        x, y = (set(zip(*(t[j:] for j in range(5)))) for t in (own, near))
+        if len(x & y) >= 0.8 * len(x | y):
+            goes.add(1000 + i)
+        rows += [(i, " ".join(own)), (1000 + i, " ".join(near))]
+    family = [word() for _ in range(300)]  # alike only below 0.8
+    rows += [(2000 + i, " ".join(family + [word() for _ in range(120)])) for i in range(40)]
+    kept = {r["doc_id"] for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 40 < len(goes) < 110 and {i for i, _ in rows} - kept == goes
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = dict(map(tuple, components(chain).collect()))
