@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import exact, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
+from clauseloom.llm import conversation, exact, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
 from clauseloom.llm.store import new_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ w AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w""")
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation.repair_digests(conversation.repair(conversation.damage(_table(spark, folder, "conversations"))))
