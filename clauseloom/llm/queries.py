@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import conversation, exact, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
+from clauseloom.llm import conversation, exact, jaccard, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
 from clauseloom.llm.store import new_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,25 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, folder, "documents"))
 
 
+@query("op11_jaccard_join", """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM t),
+n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+r AS (SELECT doc_id AS d, doc_id AS reached FROM n UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT doc_id, n_shingles, component_id FROM n JOIN (SELECT d AS doc_id, min(reached) AS component_id FROM r GROUP BY d)
+USING (doc_id)""")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, folder, "documents"))
+
+
 @query("op13_conversation_repair")
 def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.repair_digests(conversation.repair(conversation.damage(_table(spark, folder, "conversations"))))
