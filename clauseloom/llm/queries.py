@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import conversation, exact, jaccard, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
+from clauseloom.llm import collocations, conversation, exact, jaccard, lines, mixing, neighbours, packing, quality, sharding, simhash, suffix, tokenfile
 from clauseloom.llm.store import new_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,34 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
+@query("op12_collocations", """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+      FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(g, ' ') AS g, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+h AS MATERIALIZED (SELECT lang, g, f, cut, array_to_string(w[1:cut], ' ') AS g1, array_to_string(w[cut + 1:k], ' ') AS g2
+      FROM c, (VALUES (1), (2)) AS v(cut) WHERE cut < k),
+l AS MATERIALIZED (SELECT h.*, f.f AS l FROM h JOIN f ON f.lang = h.lang AND f.g = g1),
+s AS MATERIALIZED (SELECT l.*, f.f AS r, 1000000 * l.f * l.f // (l * f.f) AS score FROM l JOIN f ON f.lang = l.lang AND f.g = g2),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS place FROM s),
+d AS (SELECT lang, g, max(f) AS longer FROM (
+        SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM c WHERE k = 3)
+      GROUP BY 1, 2),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, f DESC, b.g) AS rank,
+             b.g AS phrase, f AS a, l, r, score
+      FROM b LEFT JOIN d ON d.lang = b.lang AND d.g = b.g
+      WHERE place = 1 AND (longer IS NULL OR 100 * longer < 50 * f))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 @query("op13_conversation_repair")
 def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.repair_digests(conversation.repair(conversation.damage(_table(spark, folder, "conversations"))))
