@@ -28,7 +28,7 @@ from clauseloom.llm.store import column, cut
 
 SEED = 42
 #: Tokens (words and ends) that a task gathers before it deals their edges out.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: Edges of one node in one gathering from which the node is spread.
 SPREAD = 1 << 12
 _END = 0  # the third word of an edge that ends a piece
@@ -146,9 +146,9 @@ def _dealt(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gathering()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.add(lang, text)
-                if held.size >= GATHER or len(held.names) >= 1 << 20:
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                held.add(lang.as_py(), text.as_py())
+                if held.size >= GATHER or len(held.names) >= 1 << 19:
                     yield from deal(held)
                     held = _Gathering()
         if held.size:

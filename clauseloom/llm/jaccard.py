@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.graph import components
-from clauseloom.llm.store import column, cut
+from clauseloom.llm.store import column, cut, fresh, row_key
 
 SEED = 42
 #: Shingles that a task gathers before it deals them out.
-GATHER = 1 << 21
+GATHER = 1 << 19
 #: Shingles in a block of nodes, on average; a longer text is a block of its own.
 BLOCK = 1 << 15
 ORDERS = 3
@@ -50,7 +50,7 @@ class _Words(dict):
     """Hashes of words, each computed once; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -79,8 +79,8 @@ def _node(found: np.ndarray) -> int:
 def _nodes(text: Column, words: int) -> Column:
     @F.pandas_udf("node long, n long")
     def named(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, words) for t in texts]
-        return pd.DataFrame({"node": [_node(s) for s in sets], "n": [len(s) for s in sets]})
+        return pd.DataFrame([(_node(s), len(s)) for s in (shingles(t, words) for t in texts)],
+                            columns=["node", "n"]).astype("int64")
 
     return named(text)
 
@@ -104,8 +104,8 @@ def _dealt(words: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, gathered = {}, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, words)
+            for text in batch.column(0):
+                found = shingles(text.as_py(), words)
                 if len(found) and (node := _node(found)) not in sets:
                     sets[node] = found
                     gathered += len(found)
@@ -293,6 +293,14 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     return found.union(_met(cut(pairs.union(itself), "pairs"), blocked, percent))
 
 
+def _roots(told: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of linked nodes; ``told`` has node and n of every document."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    sizes = told.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    return components(links(candidate_nodes(texts, sizes, words, percent), percent))
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per document.
@@ -304,15 +312,35 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_i
     their own component.  Repeated rows stay repeated; null ids stay null and name a
     component only if all its ids are null.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be over 50 and at most 100")
     told = cut(docs.select(column(docs, doc_id).alias("doc_id"), _nodes(column(docs, text), words).alias("s"))
                .select("doc_id", "s.node", "s.n"), "sets")
-    sizes = told.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    nodes = candidate_nodes(docs.select(column(docs, text).alias("text")), sizes, words, percent)
-    roots = components(links(nodes, percent))
+    roots = _roots(told, docs.select(column(docs, text).alias("text")), words, percent)
     rooted = told.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id",
+             text: str = "text") -> DataFrame:
+    """The documents less near-duplicates: of each component the one with the least id stays.
+
+    Components are those of ``jaccard_components``, but texts without words are one.  All
+    columns are kept.  Ties in the id are broken by the text's hash; of rows alike in both
+    one stays.  Null ids come last.
+    """
+    id_key, text_key = (fresh(n, docs) for n in ("id_key", "text_key"))
+    first, second = row_key(column(docs, doc_id), column(docs, text))
+    keyed = docs.withColumns({id_key: first, text_key: second})
+    told = cut(keyed.select(_nodes(column(docs, text), words).alias("s"), column(docs, doc_id).alias("id"),
+                            F.col(id_key).alias("k1"), F.col(text_key).alias("k2"))
+               .select("s.node", "s.n", "id", "k1", "k2"), "sets")
+    roots = _roots(told, docs.select(column(docs, text).alias("text")), words, percent)
+    stays = (
+        told.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2")).alias("m"))
+        .select(F.col("m.k1").alias(id_key), F.col("m.k2").alias(text_key))
+    )
+    return (keyed.join(stays, [id_key, text_key], "left_semi")
+            .dropDuplicates([id_key, text_key]).select(*[column(docs, c) for c in docs.columns]))

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.graph import components
-from clauseloom.llm.minhash import keep_one  # noqa: F401  the pipeline's method, once in this module
 from clauseloom.llm.store import column, cut
 
 SEED = 42
@@ -162,14 +161,12 @@ def _check(keys: list[str], distance: int, bucket: int):
     return run
 
 
-def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, accept: int | None = None) -> DataFrame:
+def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that span every group of fingerprints within the distance.
 
     ``fingerprints`` has one long column without repeats.  Distances up to 3 are served
-    by two segments: no such link is missed.  ``accept`` (at least the distance) also
-    takes pairs up to so many bits apart where a signature brings them together.
+    by two segments: no such link is missed.
     """
-    accept = distance if accept is None else accept
     if not 0 <= distance <= 3:
         raise ValueError("two segments serve distances from 0 to 3")
     rows = fingerprints.toDF("fp").withColumn("rest", F.lit(0))
@@ -183,7 +180,7 @@ def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, acce
         most = bucket if level < 2 else max(bucket, 1 << 11)
         checked = cut(
             rows.select(*keys, "rest", "fp").repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(_check(keys, accept, most), schema), "links")
+            .mapInArrow(_check(keys, distance, most), schema), "links")
         found.append(checked.where("not hot").select(F.col("fp").alias("a"), F.col("other").alias("b")))
         rows = checked.where("hot").select(*keys, "rest", "fp")
         if level == 2 or rows.isEmpty():
@@ -194,9 +191,9 @@ def links(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, acce
     return out.distinct()
 
 
-def groups(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET, accept: int | None = None) -> DataFrame:
+def groups(fingerprints: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(node, root) for every fingerprint that is linked with another one."""
-    return components(links(fingerprints, distance, bucket, accept))
+    return components(links(fingerprints, distance, bucket))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, doc_id: str = "doc_id",
