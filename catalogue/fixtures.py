@@ -205,8 +205,9 @@ def numbered_text(text: Column, doc_id: Column) -> Column:
 
     def numbered(line: Column, i: Column) -> Column:
         p = i - shift
-        k, r = F.floor(p / 12) + 1, p % 12
-        return (F.when((p < 0) | (p >= 1188), line)
+        # the grammars read two digits, so the count begins anew behind 99
+        k, r = F.floor(p / 12) % 99 + 1, p % 12
+        return (F.when(p < 0, line)
                 .when(r == 0, F.concat(F.lit("Section "), k, F.lit(" "), line))
                 .when(r == 5, F.concat(F.lit("Table "), k, F.lit(" "), line))
                 .when(r.isin(1, 3, 7, 9), F.concat(k, F.lit("."), r, F.lit(" "), line))
@@ -227,10 +228,10 @@ raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 placed AS (SELECT doc_id, i, line, i - CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS p
   FROM raw_lines),
 numbered AS MATERIALIZED (SELECT doc_id, i AS pos, CASE
-    WHEN p < 0 OR p >= 1188 THEN line
-    WHEN p % 12 = 0 THEN 'Section ' || (p // 12 + 1) || ' ' || line
-    WHEN p % 12 = 5 THEN 'Table ' || (p // 12 + 1) || ' ' || line
-    WHEN p % 12 IN (1, 3, 7, 9) THEN (p // 12 + 1) || '.' || (p % 12) || ' ' || line
+    WHEN p < 0 THEN line
+    WHEN p % 12 = 0 THEN 'Section ' || (p // 12 % 99 + 1) || ' ' || line
+    WHEN p % 12 = 5 THEN 'Table ' || (p // 12 % 99 + 1) || ' ' || line
+    WHEN p % 12 IN (1, 3, 7, 9) THEN (p // 12 % 99 + 1) || '.' || (p % 12) || ' ' || line
     WHEN p % 12 = 10 THEN '(a) ' || line ELSE line END AS line FROM placed)
 """
 

@@ -6,6 +6,7 @@ from catalogue.base import documents, query, scratch, sql_strip
 from catalogue.fixtures import (
     SQL_COUNTRY_NAME, SQL_LIBRARY, library_clauses, library_documents, library_versions,
 )
+from clauseloom.operators import search_index
 from clauseloom.operators.search import search
 from clauseloom.plans import ingest
 from clauseloom.sources import corpus, library
@@ -162,6 +163,23 @@ def list_versions(spark, folder):
     return library.list_versions(*_library(spark, folder)).drop("uploaded_at")
 
 
+@query("list_documents_in_country", f"""WITH {SQL_LIBRARY},
+counts AS (SELECT document_id, count(*) AS version_count FROM versions GROUP BY 1)
+SELECT i.id, i.name, country_code, {SQL_COUNTRY_NAME} AS country_name, coalesce(version_count, 0) AS version_count
+FROM instruments i LEFT JOIN counts ON document_id = i.id WHERE country_code = 'EW'""")
+def list_documents_in_country(spark, folder):
+    docs, versions, _ = _library(spark, folder)
+    return library.list_documents(docs, versions, country="EW").select(
+        "id", "name", "country_code", "country_name", "version_count")
+
+
+@query("list_versions_in_country", f"""WITH {SQL_LISTED}
+SELECT id, document_name, country_code, country_name, version_label, clause_count FROM listed WHERE stored_code = 'EW'""")
+def list_versions_in_country(spark, folder):
+    return library.list_versions(*_library(spark, folder), country="EW").select(
+        "id", "document_name", "country_code", "country_name", "version_label", "clause_count")
+
+
 @query("versions_of_document", f"""WITH {SQL_LISTED}
 SELECT id, version_label, clause_count FROM listed WHERE document_id = 1""")
 def versions_of_document(spark, folder):
@@ -405,3 +423,27 @@ def search_in_country(spark, folder):
 @query("search_in_versions", _sql_search("%table%", "AND c.version_id IN (1, 2, 5, 8)", "table"))
 def search_in_versions(spark, folder):
     return search("TABLE", *_library(spark, folder), version_ids=[1, 2, 5, 8]).select(*_SHOWN)
+
+
+def _indexed(spark, folder, term, **options):
+    """Postings written and read back, then the search."""
+    held, path = _library(spark, folder), scratch(spark, "postings")
+    search_index.write_postings(held[2], path)
+    return search_index.indexed_search(term, spark.read.parquet(path), *held, **options).select(*_SHOWN)
+
+
+@query("search_indexed", _sql_search("%tion the%", "", "tion the"))
+def search_indexed(spark, folder):
+    return _indexed(spark, folder, " tion the ")
+
+
+@query("search_indexed_wildcard", _sql_search("%ing_th%the%", "AND stored_code = 'EW'", "ing_th%the"))
+def search_indexed_wildcard(spark, folder):
+    """The pieces between wildcards are looked up; the pattern decides."""
+    return _indexed(spark, folder, "ING_th%the", country="EW")
+
+
+@query("search_indexed_short", _sql_search("%th_re%", "", "th_re"))
+def search_indexed_short(spark, folder):
+    """No three fixed characters in a row: all clauses are looked at."""
+    return _indexed(spark, folder, "th_re")

@@ -70,9 +70,9 @@ sentences AS (SELECT booklet, region - 1 AS region, volume, {sql_strip('part')}
     SELECT *, unnest(parts) AS part FROM broken) WHERE {sql_strip('part')} <> ''),
 verbs AS (SELECT *, lower(coalesce(
     nullif(regexp_extract(sentence, '(?i)^\\s*(replace|delete|insert|add|amend|substitute)\\b', 1), ''),
-    nullif(regexp_extract(sentence, '(?i)^\\s*(?:after|before)\\s+.{{0,80}}?,\\s*(insert|add)\\b', 1), ''),
+    nullif(regexp_extract(sentence, '(?i)^\\s*(?:after|before)\\s+.*?,\\s*(insert|add)\\b', 1), ''),
     nullif(regexp_extract(sentence, '(?i)\\b(?:paragraphs?|tables?|diagrams?)\\s+(?-i:[A-Z]?\\d{{1,3}}|[A-Z])(?:\\.\\d{{1,3}})*\\s*,\\s*(replace|delete|insert|add|amend|substitute)\\b', 1), ''),
-    nullif(regexp_extract(sentence, '(?i)^\\s*(?:in|at)\\s+.{{0,80}}?,\\s*(replace|delete|insert|add|amend)\\b', 1), ''))) AS verb
+    nullif(regexp_extract(sentence, '(?i)^\\s*(?:in|at)\\s+.*?,\\s*(replace|delete|insert|add|amend)\\b', 1), ''))) AS verb
   FROM sentences),
 instructions AS MATERIALIZED (SELECT booklet, region, volume, sentence, CASE verb WHEN 'substitute' THEN 'replace'
     WHEN 'add' THEN 'insert' ELSE verb END AS operation FROM verbs WHERE verb IS NOT NULL)

@@ -110,6 +110,55 @@ def encode_as_rows(spark, folder):
     return encoded.select("doc_id", F.round(dot(F.col("vector"), weights), 6).alias("weighted"))
 
 
+def _letter_counts():
+    """A model for the hook: what a worker loads once, and the function it runs on batches."""
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts],
+                        dtype=np.float32)
+
+    return predict
+
+
+@query("encode_model", f"""
+WITH {SQL_CHUNKS}, {SQL_ENCODED}
+SELECT doc_id, round(list_inner_product(vector, list_transform(range(1, 27), lambda x: CAST(x AS DOUBLE))), 6)
+  AS weighted FROM encoded""")
+def encode_model(spark, folder):
+    """A model of the user's own, run on batches of chunks; its batches are pooled like any other's."""
+    from clauseloom.functions.vectors import dot
+
+    encoded = embed.encode_frame(documents(spark, folder, "doc_id", "text"), ["doc_id"],
+                                 F.col("text"), embed.batch_model(_letter_counts))
+    weights = F.array(*[F.lit(float(i)) for i in range(1, 27)])
+    return encoded.select("doc_id", F.round(dot(F.col("vector"), weights), 6).alias("weighted"))
+
+
+@query("encode_weighted_terms", f"""
+WITH {SQL_CHUNKS},
+terms AS (SELECT doc_id, part, unnest(list_filter({sql_tokens('lower(chunk)')}, lambda x: trim(x) <> '')) AS term FROM chunks),
+weights AS (SELECT term, ln(((SELECT count(*) FROM chunks) + 1) / (count(DISTINCT doc_id || ':' || part) + 1)) AS weight
+  FROM terms GROUP BY 1),
+counted AS (SELECT doc_id, part, list_sum(list_transform(range(8), lambda i:
+    (strpos('0123456789abcdef', substr(md5(term), i + 1, 1)) - 1) * CAST(pow(16, 7 - i) AS BIGINT))) % 64 AS dimension, weight
+  FROM terms JOIN weights USING (term)),
+summed AS (SELECT doc_id, part, dimension, sum(weight) AS x FROM counted GROUP BY ALL),
+units AS (SELECT doc_id, dimension, CASE WHEN sum(x * x) OVER p > 0 THEN x / sqrt(sum(x * x) OVER p) ELSE x END AS x
+  FROM summed WINDOW p AS (PARTITION BY doc_id, part)),
+pooled AS (SELECT doc_id, dimension, sum(x) AS x FROM units GROUP BY ALL),
+scaled AS (SELECT doc_id, dimension, CASE WHEN sum(x * x) OVER d > 0 THEN x / sqrt(sum(x * x) OVER d) ELSE x END AS x
+  FROM pooled WINDOW d AS (PARTITION BY doc_id))
+SELECT doc_id, CAST(dimension AS INTEGER) AS dimension, round(x, 5) AS value FROM scaled WHERE round(x, 5) <> 0""")
+def encode_weighted_terms(spark, folder):
+    """Terms weighted by how few chunks of the corpus hold them; the weights are fitted first."""
+    docs = documents(spark, folder, "doc_id", "text")
+    weights = embed.term_weights(docs.select(F.explode(tx.chunks(F.col("text"))).alias("chunk")))
+    encoded = embed.encode_frame(docs, ["doc_id"], F.col("text"), embed.weighted_terms(weights))
+    return encoded.select("doc_id", F.posexplode("vector").alias("dimension", "value")).select(
+        "doc_id", "dimension", F.round("value", 5).alias("value")).filter("value <> 0")
+
+
 @query("encode_hashed_terms", f"""
 SELECT doc_id, 256 AS width, CASE WHEN {sql_token_count('text')} > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
 def encode_hashed_terms(spark, folder):

@@ -169,10 +169,10 @@ VOLUME_HEADING = r"(?i)Volume\s*([12])\s*[–—-]\s*(?:Dwellings|Buildings)"
 PAGE_MARKER = r"(?i)\bPages?\s+\d{1,4}(?:\s*(?:to|-|–)\s*\d{1,4})?\s*"
 INSTRUCTIONS = [
     r"(?i)^\s*(replace|delete|insert|add|amend|substitute)\b",
-    r"(?i)^\s*(?:after|before)\s+.{0,80}?,\s*(insert|add)\b",
+    r"(?i)^\s*(?:after|before)\s+.*?,\s*(insert|add)\b",
     rf"(?i)\b(?:paragraphs?|tables?|diagrams?)\s+{REFERENCE_BODY}\s*,\s*"
     r"(replace|delete|insert|add|amend|substitute)\b",
-    r"(?i)^\s*(?:in|at)\s+.{0,80}?,\s*(replace|delete|insert|add|amend)\b",
+    r"(?i)^\s*(?:in|at)\s+.*?,\s*(replace|delete|insert|add|amend)\b",
 ]
 
 MEASUREMENT = r"(?i)\b(\d+(?:\.\d+)?)(\s*(?:mm|m|metres|minutes|min|%)\b)"

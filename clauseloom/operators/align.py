@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clauseloom import fixed
 from clauseloom.functions.text import set_similarity, token_set
-from clauseloom.session import cut, fan_out
+from clauseloom.operators.components import components
+from clauseloom.session import cut, fan_out, scratch_path
 
 BLOCK = 1024
 GROUP_LIMIT = 250_000
@@ -189,35 +190,55 @@ def match_in_groups(scored: DataFrame) -> DataFrame:
 
 
 def match_in_rounds(scored: DataFrame) -> DataFrame:
-    """Best-first matching as rounds of distributed joins, for comparisons of any size.
+    """Best-first matching for comparisons of any size.
 
-    A pair that is the strongest of both its clauses is what the sequential greedy
-    would take sooner or later, so all such pairs are taken at once; the rest goes
-    on without their clauses.  Per-clause maxima combine before the shuffle, so a
-    clause that nearly every other one points at is no burden.
+    A pair that is the strongest of both its clauses is what the sequential greedy would
+    take sooner or later, so all such pairs are taken at once; the rest goes on without
+    their clauses.  Per-clause maxima combine before the shuffle, so a clause that nearly
+    every other one points at is no burden.  Rounds go on while each at least halves the
+    rest.  A chain of falling scores would take a round for each pair: what is left is
+    matched component by component, each in one task that holds three numbers a candidate.
+
+    Winners are one table, a folder for each round.
     """
+    spark, path = scored.sparkSession, scratch_path(scored.sparkSession, "matched")
     rank = F.struct("score", -F.col("index_v1"), -F.col("index_v2"))
     left, right = ["comparison_id", "index_v1"], ["comparison_id", "index_v2"]
-    rest, taken = cut(scored), []
-    while not rest.isEmpty():
+    rest, number = cut(scored), 0
+    left_over = rest.count()
+    while left_over:
         best_left = rest.groupBy(*left).agg(F.max_by("index_v2", rank).alias("index_v2"))
         best_right = rest.groupBy(*right).agg(F.max_by("index_v1", rank).alias("index_v1"))
         mutual = best_left.join(best_right, ["comparison_id", "index_v1", "index_v2"])
-        won = cut(rest.join(mutual, ["comparison_id", "index_v1", "index_v2"], "left_semi"))
-        taken.append(won)
+        won = rest.join(mutual, ["comparison_id", "index_v1", "index_v2"], "left_semi")
+        won.write.parquet(f"{path}/round={number}")
+        won = spark.read.schema(scored.schema).parquet(f"{path}/round={number}")
         rest = cut(rest.join(won, left, "left_anti").join(won, right, "left_anti"))
-    matched = scored.limit(0) if not taken else taken[0]
-    for won in taken[1:]:
-        matched = matched.unionByName(won)
-    return matched
+        before, left_over, number = left_over, rest.count(), number + 1
+        if 2 * left_over > before:
+            break
+    if left_over:
+        def clause(side: int) -> Column:
+            return F.struct("comparison_id", F.lit(side).alias("side"), F.col(f"index_v{side}").alias("idx"))
+
+        root = components(rest.select(clause(1).alias("a"), clause(2).alias("b"))).select(
+            F.col("node").alias("_node"), F.col("root").alias("_root"))
+        named = rest.withColumn("_node", clause(1)).join(root, "_node").drop("_node")
+        matched = named.groupBy("_root").applyInArrow(
+            lambda table: _greedy(table.drop_columns(["_root"])), scored.schema)
+        matched.write.parquet(f"{path}/round={number}")
+        number += 1
+    if not number:
+        return rest
+    return spark.read.schema(scored.schema).option("basePath", path).parquet(
+        *[f"{path}/round={i}" for i in range(number)]).select(*scored.columns)
 
 
 def one_to_one(scored: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Best-first one-to-one assignment under the order (score desc, index_v1, index_v2).
 
-    Versions within the clause cap give at most MAX_CLAUSES x TOP_K candidates per
-    comparison and are matched group-wise in one shuffle; anything larger goes
-    through the rounds.  Both give the same pairs.
+    Comparisons of up to ``group_limit`` candidates, which a task holds easily, take one
+    shuffle; larger ones go through the rounds.  Both give the same pairs.
     """
     scored = cut(scored)
     large = scored.groupBy("comparison_id").count().filter(

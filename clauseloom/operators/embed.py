@@ -30,8 +30,7 @@ def hashed_terms(width: int = 1024) -> FrameEncoder:
         from pyspark.ml.feature import HashingTF
         from pyspark.ml.functions import vector_to_array
 
-        terms = frame.withColumn("_terms", F.filter(
-            tokens(F.lower("chunk")), lambda t: F.trim(t) != ""))
+        terms = frame.withColumn("_terms", terms_of(F.col("chunk")))
         hashed = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=width)
         return (hashed.transform(terms)
                 .withColumn("vector", unit(vector_to_array("_counts")))
@@ -40,6 +39,43 @@ def hashed_terms(width: int = 1024) -> FrameEncoder:
     return encode
 
 
+def terms_of(text: Column) -> Column:
+    """The lower-cased tokens of a text that are not white space."""
+    return F.filter(tokens(F.lower(text)), lambda t: F.trim(t) != "")
+
+
+def term_weights(chunked: DataFrame) -> DataFrame:
+    """(term, weight): log((n + 1) / (df + 1)) over the chunks of a corpus.
+
+    Counts combine before the shuffle; the table is joined by term, never collected.
+    """
+    held = chunked.select(F.explode(F.array_distinct(terms_of(F.col("chunk")))).alias("term"))
+    total = chunked.count()
+    return held.groupBy("term").agg(F.log(F.lit(total + 1) / (F.count("*") + 1)).alias("weight"))
+
+
+def weighted_terms(weights: DataFrame, width: int = 64) -> FrameEncoder:
+    """Unit vectors of hashed terms, each occurrence counting its corpus weight.
+
+    A term falls in the dimension of its MD5's first eight digits modulo ``width``; terms
+    the corpus does not know count nothing.  Rows are told apart by their other columns,
+    as chunks are by key and part.
+    """
+    def encode(frame: DataFrame) -> DataFrame:
+        row = [c for c in frame.columns if c != "chunk"]
+        place = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % width
+        counted = frame.select(*row, F.explode(terms_of(F.col("chunk"))).alias("term")).groupBy(
+            *row, "term").agg(F.count("*").alias("_tf"))
+        summed = counted.join(weights, "term").groupBy(*row, place.cast("int").alias("_dimension")).agg(
+            F.sum((F.col("_tf") * F.col("weight")).cast("decimal(28,18)")).cast("double").alias("_x"))
+        held = summed.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("_dimension", "_x"))).alias("_held"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.coalesce(
+            F.try_element_at("_held", d), F.lit(0.0)))
+        return frame.join(held, row, "left").withColumn("vector", unit(every)).drop("_held")
+
+    return encode
+
+
 def batch_model(make_predict: Callable, batch_size: int = 64) -> FrameEncoder:
     """A user-supplied model: ``make_predict`` runs once per worker and returns a batch function."""
     def encode(frame: DataFrame) -> DataFrame:
@@ -65,10 +101,17 @@ def encode_frame(frame: DataFrame, keys: list[str], text: Column, encoder: Frame
 
 
 def pool(parts: DataFrame, keys: list[str], out: str = "vector") -> DataFrame:
-    """Sum the part vectors of a key and scale to length one."""
-    gathered = F.array_sort(F.collect_list(F.struct("part", "vector")))
-    return parts.groupBy(*keys).agg(gathered.alias("_parts")).select(
-        *keys, pooled(F.transform("_parts", lambda p: p["vector"])).alias(out))
+    """Sum the part vectors of a key and scale to length one.
+
+    Sums are taken dimension by dimension, so parts combine before the shuffle and a key
+    may have any number of them.  They are decimals of 18 places: the order of the parts
+    makes no difference.
+    """
+    sums = parts.select(*keys, F.posexplode("vector").alias("_dimension", "_x")).groupBy(
+        *keys, "_dimension").agg(F.sum(F.col("_x").cast("decimal(28,18)")).alias("_x"))
+    gathered = F.array_sort(F.collect_list(F.struct("_dimension", F.col("_x").cast("double").alias("_x"))))
+    return sums.groupBy(*keys).agg(gathered.alias("_sums")).select(
+        *keys, unit(F.transform("_sums", lambda s: s["_x"])).alias(out))
 
 
 def with_vector(frame: DataFrame, keys: list[str], text: Column,

@@ -10,7 +10,7 @@ from clauseloom.sources import registry
 
 REGISTRY_SCHEMA = (
     "key string, title string, jurisdiction string, publisher string, edition string, "
-    "url string, filename string, access string, kind string, parent string, notes string")
+    "url string, filename string, access string, kind string, parent string")
 PLAN_SCHEMA = "key string, document_name string, version_label string"
 
 

@@ -7,6 +7,8 @@ current state is worked out on read.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clauseloom import fixed
@@ -264,8 +266,17 @@ class LibraryStore:
             current, ["version_id", "batch"], "left_semi").drop("batch")
 
     def store(self, documents: DataFrame, versions: DataFrame, clauses: DataFrame,
-              batch: int) -> None:
-        """Clauses first and versions last, so an edition shows up only when it is whole."""
+              batch: int | None = None) -> None:
+        """Clauses first and versions last, so an edition shows up only when it is whole.
+
+        Without a number the batch is the newest.  A number below the last one, unless it
+        is written again, would hide its rows behind newer ones and is refused.
+        """
+        if batch is None:
+            batch = self.claim()
+        elif batch < self.last_batch() and f"batch={batch}" not in self._files("documents")[1] \
+                and str(batch) not in self._files("_numbers")[1]:
+            raise ValueError(f"batch {batch} is older than what the store holds; take claim()")
         self.append("documents", documents, batch)
         self.append("clauses", hashed(clauses), batch)
         self.append("versions", versions, batch)
@@ -281,12 +292,30 @@ class LibraryStore:
         self.delete_versions(below, batch)
         self.append("documents", doomed.withColumn("deleted", F.lit(True)), batch)
 
+    def _files(self, folder: str) -> tuple[Any, list[str]]:
+        """The file system of the store, and the names in one of its folders."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        return files, [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
     def last_batch(self) -> int:
-        """The greatest batch number of any table, 0 in an empty store."""
-        numbers = self._log("documents", DOCUMENTS).select("batch").union(
-            self._log("versions", VERSIONS).select("batch")).union(
-            self._log("clauses", CLAUSES).select("batch"))
-        return numbers.agg(F.max("batch")).first()[0] or 0
+        """The greatest batch number of any table, 0 in an empty store; names alone are read."""
+        names = [n for table in ("documents", "versions", "clauses") for n in self._files(table)[1]]
+        return max((int(n[6:]) for n in names if n.startswith("batch=")), default=0)
+
+    def claim(self) -> int:
+        """A batch number above all others, for this caller alone.
+
+        Streams and single batches take their numbers here, so a later one is always
+        newer.  A number is claimed by creating its file, which succeeds once.
+        """
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        while True:
+            files, names = self._files("_numbers")
+            number = max([self.last_batch(), *(int(n) for n in names if n.isdigit())]) + 1
+            if files.createNewFile(path(f"{self.root}/_numbers/{number}")):
+                return number
 
     def compacted(self, root: str) -> LibraryStore:
         """A new store under ``root`` that holds the current state alone, as one batch.

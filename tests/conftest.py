@@ -10,10 +10,11 @@ from clauseloom.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = configure(
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

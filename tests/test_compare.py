@@ -135,6 +135,32 @@ def test_both_matchings_equal_sequential_greedy_with_ties(spark):
             "comparison_id", "index_v1", "index_v2").collect()} == greedy(data)
 
 
+def test_rounds_are_few_for_a_chain_of_falling_scores(spark, monkeypatch):
+    """Each pair waits for the one before it: a chain is matched as a component, not round by round."""
+    n = 50_000
+    chain = spark.range(n).select(
+        F.lit(1).cast("long").alias("comparison_id"), F.floor(F.col("id") / 2).cast("int").alias("index_v1"),
+        F.floor((F.col("id") + 1) / 2).cast("int").alias("index_v2"), (1.0 - F.col("id") / (2 * n)).alias("score"))
+    other = spark.createDataFrame([(2, 0, 0, 0.5), (2, 1, 0, 0.6), (2, 1, 1, 0.4)], chain.schema)
+    written = []
+    monkeypatch.setattr(align, "cut", lambda frame, real=align.cut: written.append(1) or real(frame))
+    found = align.match_in_rounds(chain.union(other))
+    assert {tuple(r)[1:3] for r in found.filter("comparison_id = 1").collect()} == {(i, i) for i in range(n // 2)}
+    assert {tuple(r)[1:3] for r in found.filter("comparison_id = 2").collect()} == {(1, 0)}
+    assert len(written) < 6
+    assert align.match_in_rounds(chain.limit(0)).isEmpty()
+
+
+def test_components(spark):
+    from clauseloom.operators.components import components
+
+    edges = [(i, i + 1) for i in range(200)] + [(900, 800), (800, 700), (5, 5), (1000, 1001)]
+    random.Random(2).shuffle(edges)
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {found[i] for i in range(201)} == {0} and {found[i] for i in (700, 800, 900)} == {700}
+    assert found[1001] == 1000 and len(found) == 206
+
+
 def test_nearest_does_not_depend_on_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(7, side, i, [float(x) for x in rng.normal(size=6)])

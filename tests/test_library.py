@@ -11,8 +11,10 @@ from clauseloom.plans import annotation, cross_country
 from clauseloom.plans.ingest import (
     ingest_report, library_rows, parse_submissions, split_rejects,
 )
+from clauseloom.operators import search_index
+from clauseloom.operators.search import search
 from clauseloom.sources import corpus, library
-from clauseloom.streaming.ingest import SUBMISSIONS, first_batch, read_submissions, start_ingest
+from clauseloom.streaming.ingest import SUBMISSIONS, batch_number, read_submissions, start_ingest
 
 BODY = "The building shall be designed so that there are provisions for early warning of fire."
 
@@ -84,11 +86,37 @@ def test_compacted_store_holds_the_same_and_goes_on(spark, tmp_path):
     assert state(small) == []
 
 
-def test_stream_batches_start_with_their_checkpoint(spark, tmp_path):
-    one, other = (str(tmp_path / name) for name in ("one", "other"))
-    start = first_batch(spark, one)
-    assert first_batch(spark, one) == start
-    assert first_batch(spark, other) > start + (1 << 20)
+def test_streams_and_batches_share_one_sequence(spark, tmp_path):
+    """Stream, batch, stream: the last one written counts, and a number is never given twice."""
+    store = library.LibraryStore(spark, str(tmp_path / "library"))
+
+    def edition(again, day):
+        return [("Guide A", "2019", "SC", f"1.1 {BODY}{again}", day)]
+
+    def by_stream(rows, name):
+        inbox = str(tmp_path / f"inbox-{name}")
+        submissions(spark, *rows).coalesce(1).write.mode("append").parquet(inbox)
+        start_ingest(read_submissions(spark, inbox), store.root, str(tmp_path / name)).awaitTermination()
+
+    by_stream(edition(" One.", 100), "first")
+    assert state(store)[0][4] == f"{BODY} One." and store.last_batch() == 1
+    store.store(*library_rows(split_rejects(parse_submissions(submissions(spark, *edition(" Two.", 200))))[0]))
+    assert state(store)[0][4] == f"{BODY} Two." and store.last_batch() == 2
+    by_stream(edition(" Three.", 300), "first")
+    assert state(store)[0][4] == f"{BODY} Three." and store.last_batch() == 3
+    by_stream(edition(" Four.", 400), "other")
+    assert state(store)[0][4] == f"{BODY} Four." and store.last_batch() == 4
+
+    checkpoint = str(tmp_path / "first")
+    assert batch_number(store, checkpoint, 1) == 3  # a micro-batch that runs again
+    assert [store.claim(), store.claim()] == [5, 6]
+    hand = library.LibraryStore(spark, str(tmp_path / "hand"))
+    rows = library_rows(split_rejects(parse_submissions(submissions(spark, *edition("", 1))))[0])
+    hand.store(*rows, 7)
+    with pytest.raises(ValueError):
+        hand.store(*rows, 3)
+    hand.store(*rows, 7)
+    assert hand.claim() == 8
 
 
 def test_registry(spark):
@@ -177,3 +205,23 @@ def test_terms_across_short_clauses(spark):
     rates = cross_country.term_rates(clauses, "version_id").collect()
     assert {r["term"]: r["uses"] for r in rates} == {
         t: joined.count(t) for ts in fixed.TERM_FAMILIES.values() for t in ts}
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    texts = ["Fire doors", "FIRE  DOOR", "a fire, door", "100% of it", "ab", None, "Ünder the tür", "x" * 5000 + "fire"]
+    rows = [(i, 1, str(i), None if i % 2 else "Fire title", t, None, "General" if i == 4 else None, None, i)
+            for i, t in enumerate(texts)]
+    clauses = spark.createDataFrame(rows, library.CLAUSES)
+    versions = spark.createDataFrame([(1, 1, "v", None, None, None, None, None)], library.VERSIONS)
+    documents = spark.createDataFrame([(1, "d", None, "EW", None, None, None)], library.DOCUMENTS)
+    path = str(tmp_path / "postings")
+    search_index.write_postings(clauses, path)
+    index = spark.read.parquet(path)
+    assert index.count() == index.distinct().count()
+    for term in ("fire", "Fire door", "fire%door", "_ire doo", "0% of", "ab", "e", "general", "tür", "ünder", "nowhere",
+                 "re\\%do", "the t"):
+        found, wanted = (sorted(r["id"] for r in f.collect()) for f in (
+            search_index.indexed_search(term, index, documents, versions, clauses),
+            search(term, documents, versions, clauses)))
+        assert found == wanted, term
+    assert search_index.term_grams("a%fir_door") == ["doo", "fir", "oor"]

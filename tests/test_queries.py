@@ -15,7 +15,8 @@ TABLES = ["documents", "embeddings", "labels", "pages", "lineitem"]
 QUICK = ["clean_documents", "parse_clauses", "resolve_jurisdiction", "compare_summary",
          "align_semantic", "match_in_rounds", "search_library", "library_store",
          "register_amendments", "localisation_sweep", "matrix_scores", "term_rates",
-         "redline_edits", "export_csv", "compare_frame_encoder", "annotation_sheet", "append_curve"]
+         "redline_edits", "export_csv", "compare_frame_encoder", "annotation_sheet", "append_curve",
+         "encode_model", "encode_weighted_terms", "search_indexed", "list_versions_in_country", "pool_vectors"]
 CHOSEN = sorted(entry_point.queries()) if os.environ.get("FULL_CHECK") else QUICK
 
 
