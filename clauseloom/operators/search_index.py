@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseloom import fixed
+from clauseloom.functions.text import let
 from clauseloom.operators.search import search
 
 FIELDS = ("content", "title", "section", "clause_number")
@@ -19,10 +20,12 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    starts = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - GRAM + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: low.substr(i, F.lit(GRAM)))
+    def triples(letters: Column) -> Column:
+        starts = F.when(F.size(letters) >= GRAM, F.sequence(F.lit(0), F.size(letters) - GRAM)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(GRAM)]))
+
+    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), triples)
 
 
 def postings(clauses: DataFrame) -> DataFrame:
