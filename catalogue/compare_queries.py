@@ -13,7 +13,8 @@ from catalogue.fixtures import (
 from clauseloom import fixed
 from clauseloom.functions import markup
 from clauseloom.functions import text as tx
-from clauseloom.operators import align, redline, report
+from clauseloom.operators import align, redline, report, shortlist
+from clauseloom.operators.embed import letter_profile
 from clauseloom.plans import compare
 from clauseloom.plans.evolution import consecutive
 from clauseloom.sources.library import write_csv
@@ -107,6 +108,49 @@ def nearest_clauses(spark, folder):
     return align.nearest(vector_sides(spark, folder), block=20)
 
 
+SQL_PIVOTS = """
+lettered AS (SELECT doc_id, list_transform(range(0, 26), lambda i: CAST(length(t)
+    - length(replace(t, chr(97 + CAST(i AS INTEGER)), '')) AS DOUBLE)) AS c
+  FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
+lengths AS (SELECT doc_id, c, sqrt(list_inner_product(c, c)) AS norm FROM lettered),
+texts AS MATERIALIZED (SELECT doc_id % 2 AS side, CAST(doc_id // 2 AS INTEGER) AS idx,
+    CASE WHEN norm = 0 THEN c ELSE list_transform(c, lambda x: x / norm) END AS vector FROM lengths),
+lefts AS MATERIALIZED (SELECT * FROM texts WHERE side = 0),
+rights AS MATERIALIZED (SELECT * FROM texts WHERE side = 1),
+size AS (SELECT count(*) AS n, greatest(1, floor(sqrt(count(*) / CAST(32 AS DOUBLE)))) AS step FROM rights),
+pivots AS MATERIALIZED (SELECT idx AS home, vector FROM rights, size WHERE idx % step = 0),
+left_homes AS MATERIALIZED (SELECT idx, home FROM (SELECT a.idx, p.home, row_number() OVER (PARTITION BY a.idx
+    ORDER BY round(list_inner_product(a.vector, p.vector), 9) DESC, p.home) AS r FROM lefts a, pivots p) WHERE r <= 32),
+right_homes AS MATERIALIZED (SELECT idx, home FROM (SELECT a.idx, p.home, row_number() OVER (PARTITION BY a.idx
+    ORDER BY round(list_inner_product(a.vector, p.vector), 9) DESC, p.home) AS r FROM rights a, pivots p) WHERE r = 1),
+cosines AS MATERIALIZED (SELECT a.idx AS index_v1, b.idx AS index_v2,
+    round(list_inner_product(a.vector, b.vector), 9) AS cosine FROM lefts a, rights b),
+met AS MATERIALIZED (SELECT c.* FROM cosines c JOIN left_homes l ON l.idx = c.index_v1
+  JOIN right_homes r ON r.idx = c.index_v2 AND r.home = l.home),
+few AS (SELECT l.idx FROM lefts l LEFT JOIN met m ON m.index_v1 = l.idx, size GROUP BY l.idx, n
+  HAVING count(m.index_v1) < least(12, n)),
+taken AS (SELECT * FROM met WHERE index_v1 NOT IN (SELECT idx FROM few)
+  UNION ALL SELECT * FROM cosines WHERE index_v1 IN (SELECT idx FROM few)),
+by_pivots AS (SELECT index_v1, index_v2, cosine FROM (SELECT *, row_number() OVER (
+    PARTITION BY index_v1 ORDER BY cosine DESC, index_v2) AS r FROM taken) WHERE r <= 12)
+"""
+
+
+def text_sides(spark, folder):
+    """One large comparison: the texts of even ids against those of odd ids."""
+    d = F.col("doc_id")
+    return documents(spark, folder, "doc_id", "text").select(
+        F.lit(0).cast("long").alias("comparison_id"), (d % 2 + 1).cast("int").alias("side"),
+        F.floor(d / 2).cast("int").alias("idx"), letter_profile(F.coalesce("text", F.lit(""))).alias("vector"))
+
+
+@query("nearest_by_pivots", f"""WITH {SQL_PIVOTS}
+SELECT CAST(0 AS BIGINT) AS comparison_id, index_v1, index_v2, cosine FROM by_pivots""")
+def nearest_by_pivots(spark, folder):
+    """The approximate shortlist over whole documents, by the same pivots in SQL."""
+    return shortlist.nearest_by_pivots(text_sides(spark, folder))
+
+
 SQL_CANDIDATES = f"""
 {SQL_VECTORS},
 sized_vectors AS (SELECT *, 50 AS version_size, {sql_token_set('content')} AS terms FROM vectors),

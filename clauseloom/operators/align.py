@@ -1,12 +1,14 @@
 """Alignment of two clause lists, for many comparisons in one plan.
 
 ``sides`` holds one row per clause and side: comparison_id, side (1 or 2), idx
-(position in the version, from 0), clause_number, section, title, content.  Windows
-below hold one version or one comparison.
+(position in the version, from 0), clause_number, section, title, content.  Positions are
+counted over ranges (``positions.numbered``): no window holds a version or a comparison.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clauseloom import fixed
 from clauseloom.functions.text import set_similarity, token_set
 from clauseloom.operators.components import components
+from clauseloom.operators.positions import numbered
 from clauseloom.session import cut, fan_out, scratch_path
 
 BLOCK = 1024
@@ -23,10 +26,8 @@ PAIR = ["comparison_id", "index_v1", "index_v2", "match_score", "embedding_score
 
 def with_position(clauses: DataFrame) -> DataFrame:
     """Add idx and version_size from the (ordinal, id) order of each version."""
-    version = Window.partitionBy("version_id")
-    return (clauses
-            .withColumn("idx", F.row_number().over(version.orderBy("ordinal", "id")) - 1)
-            .withColumn("version_size", F.count("*").over(version).cast("int")))
+    placed = numbered(clauses, ["version_id"], ["ordinal", "id"], "idx", size="version_size")
+    return placed.withColumns({c: F.col(c).cast("int") for c in ("idx", "version_size")})
 
 
 def comparison_sides(comparisons: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -148,8 +149,13 @@ def composite_score(cosine: Column, lexical: Column, positional: Column) -> Colu
             + F.lit(fixed.WEIGHT_POSITION) * positional)
 
 
-def candidates(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK) -> DataFrame:
-    """Shortlisted pairs at or above the acceptance score."""
+def candidates(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK,
+               shortlist: Callable[..., DataFrame] = nearest) -> DataFrame:
+    """Shortlisted pairs at or above the acceptance score.
+
+    ``shortlist`` is exact; ``shortlist.nearest_by_pivots`` in its place is not, but meets
+    far fewer vectors where comparisons are very large.
+    """
     detail = sides.select("comparison_id", "side", "idx", place(
         F.col("idx"), F.col("version_size")).alias("place"),
         token_set(F.coalesce("content", F.lit(""))).alias("terms"))
@@ -160,7 +166,7 @@ def candidates(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK) -
             F.col("place").alias(f"place_v{side}"), F.col("terms").alias(f"terms_v{side}"))
 
     scored = (
-        nearest(sides, top_k, block)
+        shortlist(sides, top_k=top_k, block=block)
         .join(of(1), ["comparison_id", "index_v1"]).join(of(2), ["comparison_id", "index_v2"])
         .withColumn("lexical", set_similarity(F.col("terms_v1"), F.col("terms_v2")))
         .withColumn("positional", F.lit(1.0) - F.abs(F.col("place_v1") - F.col("place_v2")))
@@ -266,9 +272,10 @@ def unmatched(sides: DataFrame, pairs: DataFrame, method: str) -> DataFrame:
 
 
 def align_semantic(sides: DataFrame, top_k: int = fixed.TOP_K, block: int = BLOCK,
-                   group_limit: int = GROUP_LIMIT) -> DataFrame:
+                   group_limit: int = GROUP_LIMIT,
+                   shortlist: Callable[..., DataFrame] = nearest) -> DataFrame:
     """Match on meaning, vocabulary and reading position; ``sides`` carries ``vector``."""
-    matched = one_to_one(candidates(sides, top_k, block), group_limit).select(
+    matched = one_to_one(candidates(sides, top_k, block, shortlist), group_limit).select(
         "comparison_id", "index_v1", "index_v2", F.round("score", 4).alias("match_score"),
         F.round("cosine", 4).alias("embedding_score"), F.lit(fixed.SEMANTIC).alias("method"))
     return matched.unionByName(unmatched(sides, matched, fixed.SEMANTIC))
@@ -279,13 +286,12 @@ def reading_order(pairs: DataFrame) -> DataFrame:
 
     Every clause is in exactly one row, so the clause counts are counts over the pairs.
     """
-    comparison = Window.partitionBy("comparison_id")
+    pairs = cut(pairs)
+    sizes = pairs.groupBy("comparison_id").agg(
+        F.count("index_v1").alias("_n1"), F.count("index_v2").alias("_n2"))
     scale = F.when(F.col("_n2") > 1, (F.col("_n1") - 1).cast("double")
                    / F.greatest(F.lit(1), F.col("_n2") - 1).cast("double")).otherwise(F.lit(1.0))
-    counted = (pairs.withColumn("_n1", F.count("index_v1").over(comparison))
-               .withColumn("_n2", F.count("index_v2").over(comparison)))
     key = F.coalesce(F.col("index_v1").cast("double"), F.col("index_v2") * scale)
-    order = comparison.orderBy("_key", F.col("index_v1").isNull(), "index_v2")
-    return (counted.withColumn("_key", key)
-            .withColumn("row_index", (F.row_number().over(order) - 1).cast("long"))
-            .drop("_key", "_n1", "_n2"))
+    keyed = pairs.join(sizes, "comparison_id").withColumn("_key", key).drop("_n1", "_n2")
+    return numbered(keyed, ["comparison_id"], ["_key", F.col("index_v1").isNull(), "index_v2"],
+                    "row_index").drop("_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clauseloom import fixed
 from clauseloom.operators.redline import public_redline, redline_ratio
@@ -138,11 +138,11 @@ def chip(kind: Column, country_v1: Column, country_v2: Column) -> Column:
 
 def change_spine(rows: DataFrame, segments: int = fixed.SPINE_SEGMENTS) -> DataFrame:
     """At most ``segments`` stretches per comparison, each with its most severe type."""
-    total = F.count("*").over(Window.partitionBy("comparison_id"))
+    total = rows.groupBy("comparison_id").agg(F.count("*").alias("_total"))
     size = F.ceil(F.col("_total") / segments)
     stretch = F.floor(F.col("row_index") / F.col("_size"))
     return (
-        rows.select("comparison_id", "row_index", "change_type", total.alias("_total"))
+        rows.select("comparison_id", "row_index", "change_type").join(total, "comparison_id")
         .withColumn("_size", F.greatest(F.lit(1), size))
         .withColumn("_stretch", stretch)
         .groupBy("comparison_id", "_stretch")

@@ -16,13 +16,13 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
          seed: int = fixed.SAMPLE_SEED) -> DataFrame:
     """Even quota per class, the shortfall drawn from the rest, in shuffled order.
 
-    Repeatable for a seed.  A comparison has at most two versions' worth of rows,
-    which bounds the windows.
+    Repeatable for a seed.  Only the first ``size`` rows of a class can be drawn; the others
+    go before the shuffle (a group limit), so the windows hold ``size`` rows a class.
     """
     drawn = rows.withColumn("_draw", F.md5(F.concat_ws(
         "-", "comparison_id", "row_index", F.lit(seed)).cast("binary")))
     within = Window.partitionBy("comparison_id", "change_type").orderBy("_draw", "row_index")
-    ranked = drawn.withColumn("_rank", F.row_number().over(within))
+    ranked = drawn.withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= size)
     # every class present has exactly one row of rank one
     classes = F.count_if(F.col("_rank") == 1).over(Window.partitionBy("comparison_id"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(size) / classes))

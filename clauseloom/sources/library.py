@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clauseloom import fixed
+from clauseloom.operators.positions import numbered
 
 DOCUMENTS = ("id long, name string, description string, country_code string, doc_type string, "
              "publisher string, created_at timestamp")
@@ -200,11 +201,13 @@ def delete_documents(documents: DataFrame, versions: DataFrame, clauses: DataFra
 
 def backfill_ordinals(clauses: DataFrame) -> DataFrame:
     """Versions of several clauses whose ordinals are all zero get them from the id order."""
-    own = Window.partitionBy("version_id")
-    stale = (F.max("ordinal").over(own) == 0) & (F.count("*").over(own) > 1)
-    return clauses.withColumn("_stale", stale).withColumn("ordinal", F.when(
-        F.col("_stale"), F.row_number().over(own.orderBy("id")) - 1)
-        .otherwise(F.col("ordinal"))).drop("_stale")
+    stale = clauses.groupBy("version_id").agg(
+        F.max("ordinal").alias("_last"), F.count("*").alias("_rows")).filter(
+        "_last = 0 AND _rows > 1").select("version_id")
+    kind = dict(clauses.dtypes)["ordinal"]
+    filled = numbered(clauses.join(stale, "version_id", "left_semi"), ["version_id"], ["id"], "_place")
+    filled = filled.withColumn("ordinal", F.col("_place").cast(kind)).select(*clauses.columns)
+    return clauses.join(stale, "version_id", "left_anti").select(*clauses.columns).unionByName(filled)
 
 
 # -- the store ---------------------------------------------------------------

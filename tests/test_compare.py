@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom import fixed
-from clauseloom.functions import diff
+from clauseloom.functions import diff, vectors
 from clauseloom.operators import align, redline, report
 from clauseloom.plans import compare
 
@@ -177,6 +177,66 @@ def test_nearest_does_not_depend_on_blocks(spark):
     assert {(r[1], r[2]) for r in results[0]} == {(i, int(j)) for i in range(25) for j in top[i]}
 
 
+def test_pivots_find_nearly_all_and_meet_fewer(spark):
+    """Recall against the exact shortlist, and how many vectors meet."""
+    from clauseloom.operators import shortlist
+
+    rng = np.random.default_rng(5)
+    topics = rng.random((60, 26))
+    rows = [(1, side, i, [float(x) for x in np.abs(topics[rng.integers(60)] + rng.normal(scale=0.15, size=26))])
+            for side, n in ((1, 600), (2, 872)) for i in range(n)]
+    rows += [(2, 1, i, [1.0, float(i)] + [0.0] * 24) for i in range(5)]    # no right side
+    rows += [(3, side, i, [0.0] * 26) for side in (1, 2) for i in range(7)]  # zero vectors, fewer than twelve
+    rows += [(4, side, i, [1.0] * 26) for side in (1, 2) for i in range(50)]  # all alike
+    rows += [(4, 1, 50, None)]
+    frame = spark.createDataFrame(
+        rows, "comparison_id long, side int, idx int, vector array<double>")
+    unit = frame.withColumn("vector", vectors.unit(F.col("vector")))
+    exact = {tuple(r) for r in align.nearest(unit.filter("vector is not null")).collect()}
+    found = [{tuple(r) for r in shortlist.nearest_by_pivots(unit, block=b).collect()} for b in (1024, 10)]
+    assert found[0] == found[1] and len(found[0]) == len(exact)
+    large = {r for r in exact if r[0] == 1}
+    assert len(large & found[0]) >= 0.95 * len(large)
+    assert {r for r in exact if r[0] != 1} == {r for r in found[0] if r[0] != 1}
+    assert shortlist.nearest_by_pivots(unit.limit(0)).count() == 0
+    left, right = (unit.filter(f"comparison_id = 1 and side = {s}") for s in (1, 2))
+    pivots = shortlist.pivots_of(right)
+    dealt = [shortlist.homes(f, pivots, n).groupBy("pivot").count() for f, n in ((left, 32), (right, 1))]
+    met = dealt[0].join(dealt[1].withColumnRenamed("count", "n"), "pivot").agg(F.sum(F.col("count") * F.col("n")))
+    assert (600 + 872) * pivots.count() + met.first()[0] < 600 * 872
+
+
+def test_alignment_takes_the_shortlist_by_pivots(spark):
+    from clauseloom.operators import shortlist
+
+    frame = sides(spark, [(str(i), f"clause on matter {i} alpha") for i in range(20)],
+                  [(str(i), f"clause on matter {i} alpha") for i in range(20)])
+    frame = frame.withColumn("vector", vectors.unit(F.array(F.lit(1.0), F.col("idx") * 0.1)))
+    both = [sorted(map(str, align.align_semantic(frame, shortlist=s).collect()))
+            for s in (align.nearest, shortlist.nearest_by_pivots)]
+    assert both[0] == both[1]
+
+
+def test_numbered_groups_over_many_partitions(spark):
+    """One group over all partitions, ties of groups, null keys, empty frames, no window over rows."""
+    from clauseloom.operators.positions import numbered
+
+    rows = [(1, i * 7 % 5003, "x") for i in range(5003)] + [(None, 3, "b"), (None, 1, "a"), (2, 9, "c")]
+    frame = spark.createDataFrame(rows, "g long, o long, t string")
+    out = numbered(frame, ["g"], ["o"], "at", size="n")
+    got = {(r["g"], r["o"]): (r["at"], r["n"]) for r in out.collect()}
+    assert all(got[1, i] == (i, 5003) for i in range(5003))
+    assert got[None, 1] == (0, 2) and got[None, 3] == (1, 2) and got[2, 9] == (0, 1) and len(got) == 5006
+    assert numbered(frame.limit(0), ["g"], ["o"], "at").count() == 0
+    assert out.columns == ["g", "o", "t", "at", "n"]
+
+
+def test_reading_order_has_no_window_over_pairs(spark):
+    frame = sides(spark, [(str(i), "a") for i in range(30)], [(str(i), "a") for i in range(0, 60, 2)])
+    plan = align.reading_order(align.align_by_identifier(frame))._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "windowspecdefinition(comparison_id" in plan  # of stretches only
+
+
 def sides(spark, old, new):
     rows = [(1, side, i, number, None, None, text, i, len(clauses))
             for side, clauses in ((1, old), (2, new)) for i, (number, text) in enumerate(clauses)]

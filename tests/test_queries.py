@@ -16,7 +16,8 @@ QUICK = ["clean_documents", "parse_clauses", "resolve_jurisdiction", "compare_su
          "align_semantic", "match_in_rounds", "search_library", "library_store",
          "register_amendments", "localisation_sweep", "matrix_scores", "term_rates",
          "redline_edits", "export_csv", "compare_frame_encoder", "annotation_sheet", "append_curve",
-         "encode_model", "encode_weighted_terms", "search_indexed", "list_versions_in_country", "pool_vectors"]
+         "encode_model", "encode_weighted_terms", "search_indexed", "list_versions_in_country", "pool_vectors",
+         "nearest_by_pivots", "reading_order", "backfill_ordinals", "change_spine"]
 CHOSEN = sorted(entry_point.queries()) if os.environ.get("FULL_CHECK") else QUICK
 
 
