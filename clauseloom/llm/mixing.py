@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.store import column, cut, fresh, row_key
+from clauseloom.operators.positions import numbered
+from clauseloom.session import fan_out
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one task flies at once.
@@ -114,6 +116,27 @@ def _fly(last: bool, seed: int):
     return run
 
 
+def dealt(sized: DataFrame, goal: DataFrame, part: int, seed: int) -> DataFrame:
+    """The rows with their source's target, each in one of its source's parts.
+
+    Rows alike in everything are counted first and then dealt out by number, or one
+    document that fills a third of the table would be a whole part.  A document of more
+    rows than a part comes out of its count in blocks, which tasks share.
+    """
+    alike = sized.groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count("*").alias("alike"))
+    alike = alike.join(goal, alike.source.eqNullSafe(goal.s)).drop("s")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / part))
+    many = fan_out(alike.where(F.col("alike") > part).withColumn("block", F.explode(blocks)),
+                   F.col("k1"), F.col("k2"), F.col("block"))
+    few = alike.where(F.col("alike") <= part).withColumn("block", F.lit(0).cast("long"))
+    first = F.col("block") * part
+    numbers = F.sequence(first, F.least(first + part, F.col("alike")) - 1)
+    rows = few.unionByName(many).withColumn("number", F.explode(numbers))
+    rows = rows.withColumn("h", F.xxhash64("k1", "k2", F.lit(seed)))
+    return rows.withColumn("part", F.pmod(F.xxhash64("h", "number", F.lit("part")), F.col("parts"))) \
+        .drop("block", "number", "alike")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
         most: float = 2.0, seed: int = 42, part: int = PART, doc_id: str = "doc_id",
         text: str = "text", source: str = "source") -> DataFrame:
@@ -134,12 +157,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         goal.source.alias("s"), "source_size", "target",
         F.ceil(F.col("docs") / part).cast("long").alias("parts")), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(goal, sized.source.eqNullSafe(goal.s)).drop("s")
-    rows = rows.withColumn("h", F.xxhash64("k1", "k2", F.lit(seed))).withColumn("rate", rate)
-    rows = rows.withColumns({
-        "whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate"),
-        # rows alike in every key are dealt out by place, or one document could be a whole part
-        "part": F.pmod(F.xxhash64("h", F.lit("part")), F.col("parts"))})
+    rows = dealt(sized, goal, part, seed).withColumn("rate", rate)
+    rows = rows.withColumns({"whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate")})
     rows = rows.select("doc_id", "source", "size", "k1", "k2", "source_size", "target", "h", "whole", "p", "part", "parts")
     schema = rows.schema
     state = cut(rows.groupBy("source", "part").applyInPandas(_fly(False, seed), schema), "flown")
@@ -169,17 +188,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it.
 
-    Rows alike in id and text take each their own number; their sum is what comes out.
+    Rows alike in id and text take each their own number; their sum is what comes out.  The
+    numbers follow the rows' places in ``docs``, a written table whose places do not change
+    when a task runs again, and are counted over ranges, so alike rows need not meet in a task.
     """
-    a, b, times, n, copies = (fresh(x, docs) for x in ("k1", "k2", "times", "rows", "copies"))
+    a, b, times, n, copies, row, place = (
+        fresh(x, docs) for x in ("k1", "k2", "times", "rows", "copies", "row", "place"))
     takes = mix(docs, doc_id=doc_id, text=text, source=source, **options)
     # of n alike rows that together are taken t times, row i comes out t div n or one more times
     per = takes.groupBy("k1", "k2").agg(F.sum("times").alias(times), F.count("*").alias(n))
     per = per.where(F.col(times) > 0).select(F.col("k1").alias(a), F.col("k2").alias(b), times, n)
     k1, k2 = row_key(column(docs, doc_id), column(docs, text))
-    keyed = docs.withColumns({a: k1, b: k2}).join(per, [a, b])
-    i = F.row_number().over(Window.partitionBy(a, b).orderBy(F.lit(1)))
-    spread = keyed.withColumn(copies, F.when(F.col(n) == 1, F.col(times)).otherwise(
-        F.floor((F.col(times) + i - 1) / F.col(n)).cast("long")))
+    per = cut(per, "takes")
+    placed = docs.withColumns({a: k1, b: k2, row: F.monotonically_increasing_id()})
+    single = placed.join(per.where(F.col(n) == 1), [a, b]).withColumn(copies, F.col(times).cast("long"))
+    # only the keys of alike rows are put in order
+    several = per.where(F.col(n) > 1)
+    order = numbered(placed.select(a, b, row).join(several.select(a, b), [a, b], "left_semi"), [a, b], [row], place)
+    shared = placed.join(order.select(row, place), row).join(several, [a, b]).withColumn(
+        copies, F.floor((F.col(times) + F.col(place)) / F.col(n)).cast("long"))
+    spread = single.unionByName(shared.select(*[column(shared, c) for c in single.columns]))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long")))
     return spread.where(F.col(copies) > 0).withColumn(times, each).select(*[column(docs, c) for c in docs.columns])

@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clauseloom.llm.store import column
 
 EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 2, 24
-#: The training sample: labelled documents, and bytes of each; mini-batches and their size.
-SAMPLE_DOCS, SAMPLE_BYTES, STEPS, BATCH = 4096, 65_536, 900, 32
+#: The training sample: labelled documents, whole, and their bytes together (what the driver
+#: holds); mini-batches and their size.
+SAMPLE_DOCS, SAMPLE_BYTES, STEPS, BATCH = 4096, 268_435_456, 900, 32
 THRESHOLD = 0.7
 _PIECE = 1 << 16
 
@@ -122,19 +124,32 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
         sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, steps: int = STEPS) -> ByteNet:
-    """Train on at most ``sample_docs`` labelled documents outside the held-out fold.
+    """Train on at most ``sample_docs`` labelled documents outside the held-out fold, whole.
 
     Labels are 0 or 1; other values, null ids and ids labelled both ways are left out.
+    Documents are taken in order of a hash; one that would bring the sample over
+    ``sample_bytes`` is left out of it, whole.  Rows alike in id and text count once.
     """
     known = labels.select(column(labels, doc_id).alias("id"), column(labels, label).cast("int").alias("y"))
     known = (known.where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
              .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
              .orderBy(F.xxhash64("id"), "id").limit(sample_docs).select("id", "y"))
     # a bounded table, sent to every task rather than moving the texts
-    rows = docs.select(column(docs, doc_id).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("t")) \
-        .join(F.broadcast(known), "id") \
-        .select("id", "y", F.substring(F.col("t").cast("binary"), 1, sample_bytes).alias("t"), F.xxhash64("t").alias("h")) \
-        .orderBy("id", "h").limit(2 * sample_docs).collect()
+    texts = docs.select(column(docs, doc_id).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("t")) \
+        .join(F.broadcast(known), "id").select("id", "y", "t", F.xxhash64("t").alias("h"))
+    heads = texts.groupBy("id", "h").agg(F.max(F.octet_length("t")).alias("n")) \
+        .orderBy(F.xxhash64("id"), "id", "h").limit(sample_docs).collect()
+    wanted, total = [], 0
+    for r in heads:
+        if total + r["n"] <= sample_bytes:
+            total += r["n"]
+            wanted.append((r["id"], r["h"]))
+    if not wanted:
+        return train([], [], steps)
+    chosen = docs.sparkSession.createDataFrame(
+        wanted, T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("h", T.LongType())]))
+    rows = texts.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h").agg(
+        F.first("y").alias("y"), F.first(F.col("t").cast("binary")).alias("t")).orderBy("id", "h").collect()
     return train([bytes(r["t"]) for r in rows], [r["y"] for r in rows], steps)
 
 

@@ -233,6 +233,24 @@ def test_classify_odd_rows(spark, docs, no_docs):
     assert quality.classify(no_docs, labels.where("false"), steps=3).count() == 0
 
 
+def test_whole_texts_are_learnt(spark, monkeypatch):
+    """What tells the labels apart lies behind 70,000 bytes; repeated rows count once."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = [i for i in range(60) if not held(i)]
+    frame = spark.createDataFrame(
+        [(i, "lorem ipsum " * 6000 + ("good words here." if i % 2 else "### @@@ %%% ###")) for i in ids] * 2,
+        "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y, steps: seen.append((texts, y)))
+    quality.fit(frame, labels)
+    quality.fit(frame, labels, sample_docs=10)
+    quality.fit(frame, labels, sample_bytes=200_000)
+    quality.fit(frame, labels, sample_bytes=100)
+    assert [len(t) for t, _ in seen] == [len(ids), 10, 2, 0]
+    assert all(t.endswith(b"here." if y else b"###") and len(t) > 70_000 for t, y in zip(*seen[0]))
+
+
 # -- mixing -------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -293,6 +311,28 @@ def test_flight_keeps_both_totals(spark):
         assert all(abs(t[0] - goal) <= 100 for goal, t in total.items())
 
 
+def test_alike_rows_share_parts_and_copies(spark):
+    """Half of all rows alike in id and text: no part holds them, and the totals hold."""
+    frame = spark.createDataFrame(
+        [(None, "one two three", "a", i) for i in range(3000)] + [(i, "w " * (i % 40), "a" if i % 3 else None, i) for i in range(3000)],
+        "doc_id long, text string, source string, row long")
+    sized = frame.select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"),
+                         F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
+    goal = spark.createDataFrame([("a", 25), (None, 5)], "s string, parts long")
+    dealt = mixing.dealt(sized, goal, 200, 42)
+    assert dealt.count() == 6000 and dealt.groupBy("source", "part").count().agg(F.max("count")).first()[0] < 400
+    out = [Counter(tuple(r) for r in mixing.mix(f, part=200).collect()) for f in (frame, frame.repartition(7))]
+    assert out[0] == out[1] and sum(out[0].values()) == 6000
+    got, want = Counter(), Counter()
+    written = frame.repartition(5)
+    for r in mixing.mixed_documents(written, part=200).collect():
+        got[r["doc_id"], r["source"]] += 1
+        assert r["row"] is not None
+    for r in mixing.mix(frame, part=200).collect():
+        want[r["doc_id"], "a" if r["doc_id"] is None or r["doc_id"] % 3 else None] += r["times"]
+    assert got == Counter({k: v for k, v in want.items() if v})
+
+
 def test_mixed_documents(docs):
     takes = defaultdict(int)
     for r in mixing.mix(docs).collect():
