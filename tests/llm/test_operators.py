@@ -345,7 +345,7 @@ def test_mixed_documents(docs):
 
 # -- line dedup ---------------------------------------------------------------
 
-def brute_lines(rows):
+def brute_line_spans(rows):
     places, first = defaultdict(list), {}
     unique = sorted(set(rows), key=lambda x: (-1 if x[0] is None else x[0]))
     for d, t in unique:
@@ -359,8 +359,12 @@ def brute_lines(rows):
         for d, t, b, e in at:
             if (d, t, b, e) != first[body]:
                 gone[(d, t)].append((b, e))
-    out = {}
-    for d, t in unique:
+    return gone
+
+
+def brute_lines(rows):
+    gone, out = brute_line_spans(rows), {}
+    for d, t in set(rows):
         data = t.encode()
         for b, e in sorted(gone[(d, t)], reverse=True):
             data = data[:b] + data[e:]
@@ -368,6 +372,113 @@ def brute_lines(rows):
     return out
 
 
+def brute_runs(rows, words=lines.WORDS, window=lines.WINDOW):
+    """What the registered form leaves: chunks as above, and runs taken by trying every window."""
+    unique = sorted(set(rows), key=lambda x: (-1 if x[0] is None else x[0]))
+    places, split = defaultdict(list), {}
+    for row in unique:
+        own = split[row] = row[1].encode().split(b"\n")
+        count = [len(x.split()) for x in own]
+        runs = {}
+        for i in range(len(own)):
+            j = next((j for j in range(i + 1, len(own) + 1) if sum(count[i:j]) >= words), None)
+            if j and count[i]:
+                h = sum(lines.xxhash.xxh64_intdigest(x) * lines.BASE ** (j - i - 1 - n) for n, x in enumerate(own[i:j]))
+                runs[i] = (h % lines.PRIME, j)
+        for i in runs:
+            begins = [k for k in runs if k >= i and sum(count[i:k]) < window]
+            best = min(begins, key=lambda k: (runs[k][0], k))
+            if (row, best) not in places[b"\n".join(own[best:runs[best][1]])]:
+                places[b"\n".join(own[best:runs[best][1]])].append((row, best))
+    gone = defaultdict(set)
+    for body, at in places.items():
+        many = body.count(b"\n") + 1
+        at.sort(key=lambda x: (-1 if x[0][0] is None else x[0][0], x[1]))
+        first, begin = at[0]
+        for row, i in at[1:]:
+            mine, other = split[row], split[first]
+            num = lambda own, x: len(own[x].split())
+            taken, back, on = set(range(i, i + many)), 1, 0
+
+            def reach(own, b, step):
+                """How many lines around a run it may grow over."""
+                n, seen = 0, 0
+                while 0 <= b < len(own) and num(own, b) < window and (
+                        seen + num(own, b) <= window if step < 0 else seen < 2 * window):
+                    n, seen, b = n + 1, seen + num(own, b), b + step
+                return n
+            far = min(reach(mine, i - 1, -1), reach(other, begin - 1, -1))
+            while back <= far and mine[i - back] == other[begin - back]:
+                taken.add(i - back)
+                back += 1
+            far = min(reach(mine, i + many, 1), reach(other, begin + many, 1))
+            while on < far and mine[i + many + on] == other[begin + many + on]:
+                taken.add(i + many + on)
+                on += 1
+            gone[row] |= {x for x in taken if row != first or x >= begin + many}
+    return gone, split
+
+
+def left_by_both(rows):
+    gone, split = brute_runs(rows)
+    out = {}
+    for row, own in split.items():
+        data, spans, at = row[1].encode(), [], 0
+        for n, line in enumerate(own):
+            if n in gone[row]:
+                spans.append((at, min(len(data), at + len(line) + 1)))
+            at += len(line) + 1
+        out[row] = spans
+    return out
+
+
+def test_registered_line_dedup(docs, given, no_docs):
+    """The form of op5 and the pipeline, on odd rows and on given ones, against brute force."""
+    for frame in (docs, given):
+        rows = pairs_of(frame)
+        runs, chunks = left_by_both(rows), brute_line_spans(rows)
+        want = Counter()
+        for row in rows:
+            data, keep = row[1].encode(), bytearray()
+            gone = runs[row] + chunks[row]
+            drop = bytearray(len(data))
+            for b, e in gone:
+                drop[b:e] = b"\x01" * (e - b)
+            keep = bytes(x for x, d in zip(data, drop) if not d)
+            want[(row[0], keep.decode())] += 1
+        out = lines.line_dedup(frame, words=lines.WORDS)
+        assert Counter((r["doc_id"], r["text"] or "") for r in out.collect()) == want
+    assert lines.line_dedup(no_docs, words=lines.WORDS).count() == 0
+
+
+def test_repeated_passages_are_found(spark):
+    """Passages of 50 words and more in whole lines of any length: all copies but the first go whole."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+
+    def some(n):
+        out = []
+        while n > 0:
+            out.append(" ".join(word() for _ in range(min(n, rng.choice([1, 3, 7, 12, 18, 29, 31, 70])))))
+            n -= len(out[-1].split())
+        return out
+
+    rows, passages = [], []
+    for i in range(300):
+        passage = some(rng.randint(50, 160))
+        passages.append(passage)
+        for copy in range(3):
+            rows.append((1000 * copy + i, "\n".join(some(rng.randint(0, 60)) + passage + some(rng.randint(0, 60)))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.line_dedup(frame, words=lines.WORDS).collect()}
+    for i, passage in enumerate(passages):
+        assert out[i] == dict(rows)[i]
+        for copy in (1, 2):
+            left = out[1000 * copy + i].split("\n")
+            assert not set(left) & {x for x in passage if len(x.split()) > 3}
+            assert len(left) >= 1
+
+
 def test_line_dedup(docs, given):
     for frame in (docs, given):
         want = brute_lines(pairs_of(frame))
