@@ -566,6 +566,28 @@ def test_recall_beside_copies(spark, block):
     assert hits / total >= 0.97
 
 
+@pytest.mark.parametrize("block", [8192, 40])
+def test_vectors_of_one_direction_tie(spark, block):
+    """Multiples of a vector have one cosine with any query, so they come in the order of their ids."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16)).astype(np.float32).astype(np.float64)
+    x = np.concatenate([7 * base, base, 3 * base])[rng.permutation(120)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest_neighbours(frame, k=6, every=1, block=block, rerank=1.0).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    scores = {}
+    for q, found in got.items():
+        assert len(found) == 6 and found == sorted(found, key=lambda f: (-f[0], f[1]))
+        # the query's own two multiples tie at one
+        assert [s for s, _ in found[:2]] == [1.0, 1.0]
+        scores[q] = found
+        # then three of one direction, and one of the next
+        assert found[2][0] == found[3][0] == found[4][0] > found[5][0]
+    assert len(scores) == 120
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]),
