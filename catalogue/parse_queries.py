@@ -168,7 +168,6 @@ def sql_reflow(value: str) -> str:
 
 
 SQL_SEGMENTS = f"""
-{SQL_MARKERS},
 tracked AS (SELECT *, count(rule) OVER w AS clause_no,
     last_value(CASE WHEN opens THEN {sql_strip("number || ' ' || rest")} END IGNORE NULLS) OVER w AS section
   FROM markers WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
@@ -238,7 +237,7 @@ def _array(spark, folder, build):
         "doc_id", F.explode(tx.let(lines, steps)).alias("c")).select("doc_id", "c.*")
 
 
-@query("segment_clauses", f"""WITH {SQL_TITLED}
+@query("segment_clauses", f"""WITH {SQL_MARKERS}, {SQL_TITLED}
 SELECT doc_id, clause_number, level, section, title, content, count(*) AS n FROM titled GROUP BY ALL""")
 def segment_clauses(spark, folder):
     """Clauses between markers: sections inherited, lines reflowed, titles and preamble."""
@@ -248,7 +247,7 @@ def segment_clauses(spark, folder):
         F.count("*").alias("n"))
 
 
-@query("merge_fragments", f"""WITH {SQL_MERGED}
+@query("merge_fragments", f"""WITH {SQL_MARKERS}, {SQL_MERGED}
 SELECT doc_id, clause_number, level, content, count(*) AS n FROM merged GROUP BY ALL""")
 def merge_fragments(spark, folder):
     clauses = _array(spark, folder, lambda lines, marks: tx.let(parse.segmented(
@@ -257,7 +256,7 @@ def merge_fragments(spark, folder):
         F.count("*").alias("n"))
 
 
-@query("parse_clauses", f"""WITH {SQL_MERGED}
+@query("parse_clauses", f"""WITH {SQL_MARKERS}, {SQL_MERGED}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause_no) - 1 AS INTEGER) AS ordinal,
   clause_number, title, content, section, level FROM shown""")
 def parse_clauses(spark, folder):
@@ -266,7 +265,7 @@ def parse_clauses(spark, folder):
     return parse.parse_documents(docs, "doc_id")
 
 
-@query("parse_summary", f"""WITH {SQL_MERGED}
+@query("parse_summary", f"""WITH {SQL_MARKERS}, {SQL_MERGED}
 SELECT doc_id, count(*) AS clauses, count(DISTINCT nullif(section, '')) AS sections,
   list_sort(list(length(content)))[count(*) // 2 + 1] AS median_chars FROM shown GROUP BY doc_id""")
 def parse_summary(spark, folder):
