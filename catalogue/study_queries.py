@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue.base import (
-    ORACLES, documents, query, scratch, sql_count_of, sql_describe, sql_f1, sql_letter_vectors, sql_strip, sql_word_count, table,
+    ORACLES, documents, query, scratch, sql_count_of, sql_describe, sql_f1, sql_letter_vectors, sql_strip, sql_token_count, sql_word_count, table,
 )
 from catalogue.compare_queries import (
     SQL_REPORT, SQL_SEMANTIC_PAIRS, SQL_SUMMARY, aligned_report,
@@ -469,6 +469,20 @@ def perturbation_distributions(spark, folder):
     return perturbation.distributions(perturbation.measured(pairs, embed.letter_profile))
 
 
+@query("perturbation_summaries", f"""WITH {SQL_SCORED},
+counted AS (SELECT perturbation, similarity, {sql_token_count('altered')} AS after,
+    {sql_token_count('original')} AS before FROM (SELECT *, max(CASE WHEN perturbation = 'identity' THEN altered END)
+      OVER (PARTITION BY id) AS original FROM scored) WHERE length(original) >= {fixed.PERTURB_MIN_CHARS}),
+measures AS (SELECT perturbation, 'similarity' AS measure, round(similarity, 4) AS value FROM counted
+  UNION ALL SELECT perturbation, 'word_change_ratio', round(CAST(before - after AS DOUBLE) / greatest(before, 1), 4) FROM counted
+    WHERE perturbation IN ('identity', 'sentence_removed'))
+{sql_describe('measures', 'value', 'perturbation, measure')}""")
+def perturbation_summaries(spark, folder):
+    """The distributions but for the ratios of edits inside a text, which hang on the matcher."""
+    inner = F.col("perturbation").isin("numeric_values", "sentence_reordered") & (F.col("measure") == "word_change_ratio")
+    return perturbation_distributions(spark, folder).filter(~inner)
+
+
 @query("perturbation_matrix", f"""WITH {SQL_SCORED},
 used AS (SELECT expected AS truth, prediction FROM scored WHERE expected IS NOT NULL),
 names AS (SELECT unnest(['Unchanged', 'Minor Edit', 'Significant Change', 'Added', 'Removed']) AS label),

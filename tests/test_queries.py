@@ -12,7 +12,7 @@ import __spark_entry__ as entry_point
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "labels", "pages", "lineitem"]
-QUICK = ["noise_lines", "markers_by_tradition", "parse_by_tradition", "pair_study_by_meaning", "redline_unified",
+QUICK = ["noise_lines", "register_between_lines", "mentions_by_operation", "perturbation_summaries", "markers_by_tradition", "parse_by_tradition", "pair_study_by_meaning", "redline_unified",
          "clean_documents", "parse_clauses", "resolve_jurisdiction", "compare_summary",
          "align_semantic", "match_in_rounds", "search_library", "library_store",
          "register_amendments", "localisation_sweep", "matrix_scores", "term_rates",
