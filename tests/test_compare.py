@@ -41,6 +41,18 @@ def test_matching_runs_equal_the_standard_matcher():
         assert diff.matching_runs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) == wanted
 
 
+def test_matching_starts_from_runs_at_one_place(monkeypatch):
+    """Two editions with a few words replaced need few looks at the windows of a range."""
+    rng, looks, of = random.Random(3), [], diff._Windows.of
+    monkeypatch.setattr(diff._Windows, "of", lambda *call: looks.append(call) or of(*call))
+    old = np.arange(3000)
+    new = old.copy()
+    for at in range(50, 3000, 100 + rng.randrange(20)):
+        new[at] = 5000 + at
+    matched = sum(size for *_, size in diff.matching_runs(old, new))
+    assert matched == int((old == new).sum()) and len(looks) < 6 * int((old != new).sum())
+
+
 def test_redline_of_an_edited_sentence():
     left, right, both, removed, added, kept = diff.redline(
         "A gap of 600mm & more.", "A gap of 750mm & more.")
