@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.llm import simhash
 from clauseloom.llm.graph import components
 from clauseloom.llm.store import column, cut, fresh, row_key
 
@@ -256,8 +257,26 @@ def _slots(nodes: DataFrame, *keys: str) -> DataFrame:
     return nodes.join(many, [*keys]).withColumn("block", F.xxhash64(*keys, slot)).drop("many")
 
 
-def links(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that span every component of the nodes."""
+def _stars(single: DataFrame, percent: int) -> DataFrame:
+    """Verified links between nodes and their ``home``, a node as well."""
+    around = _slots(single.where("node <> home"), "home")
+    centre = single.join(single.select(F.col("home").alias("node")).distinct(), "node", "left_semi")
+    centre = centre.withColumn("block", F.col("node"))
+    stars = around.select(F.col("home").alias("one"), F.col("block").alias("two")).distinct()
+    return _met(stars, centre.select(*around.columns).unionByName(around), percent)
+
+
+def links(nodes: DataFrame, percent: int, near: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that span every component of the nodes.
+
+    Groups that links ``near`` from elsewhere make are verified first; what that connects is
+    not compared again.
+    """
+    known = None
+    if near is not None:
+        grouped = cut(nodes.drop("central").join(components(near), "node"), "near")
+        homes = grouped.groupBy("root").agg(F.min("node").alias("home"))
+        known = _stars(grouped.join(homes, "root").withColumn("root", F.col("node")), percent)
     postings = cut(nodes.select("node", "central", F.posexplode("prefixes").alias("sort", "p"))
                    .select("node", "central", "sort", F.explode("p").alias("h")), "postings")
     # the most central of those that a node shares the first order's prefix with
@@ -267,11 +286,10 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
              .agg(F.max("head").alias("head")).select("node", F.col("head.node").alias("home")))
     placed = cut(nodes.drop("central").join(homes, "node"), "homes")
     single = placed.withColumn("root", F.col("node"))
-    around = _slots(single.where("node <> home"), "home")
-    centre = single.join(single.select(F.col("home").alias("node")).distinct(), "node", "left_semi")
-    centre = centre.withColumn("block", F.col("node"))
-    stars = around.select(F.col("home").alias("one"), F.col("block").alias("two")).distinct()
-    found = _met(stars, centre.select(*around.columns).unionByName(around), percent)
+    if known is not None:
+        single = placed.join(components(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _stars(single, percent)
+    found = found if known is None else found.union(known)
 
     roots = components(found)
     named = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -293,12 +311,26 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     return found.union(_met(cut(pairs.union(itself), "pairs"), blocked, percent))
 
 
-def _roots(told: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _roots(told: DataFrame, texts: DataFrame, words: int, percent: int,
+           near: DataFrame | None = None) -> DataFrame:
     """(node, root) of linked nodes; ``told`` has node and n of every document."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     sizes = told.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    return components(links(candidate_nodes(texts, sizes, words, percent), percent))
+    return components(links(candidate_nodes(texts, sizes, words, percent), percent, near))
+
+
+def _simhash_links(told: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links between nodes whose fingerprints differ in few bits or not at all.
+
+    ``told`` has node, n and fp.  Texts without words have no part in it.
+    """
+    worded = told.where("n > 0").select("node", "fp").distinct()
+    first = cut(worded.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike = worded.join(first, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    one, two = (first.select(F.col("fp").alias(side), F.col("least").alias(f"node_{side}")) for side in ("a", "b"))
+    near = simhash.links(first.select("fp"), distance).join(one, "a").join(two, "b")
+    return cut(alike.union(near.select("node_a", "node_b")), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id",
@@ -322,10 +354,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_i
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id",
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, distance: int = 3, doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
     """The documents less near-duplicates: of each component the one with the least id stays.
 
+    SimHash comes first: documents whose fingerprints over shingles of ``words`` words differ in
+    at most ``distance`` bits are candidates, and each is checked by its set of shingles.  The
+    exact join then finds the links that fingerprints cannot tell, among what is still apart.
     Components are those of ``jaccard_components``, but texts without words are one.  All
     columns are kept.  Ties in the id are broken by the text's hash; of rows alike in both
     one stays.  Null ids come last.
@@ -333,10 +368,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
     id_key, text_key = (fresh(n, docs) for n in ("id_key", "text_key"))
     first, second = row_key(column(docs, doc_id), column(docs, text))
     keyed = docs.withColumns({id_key: first, text_key: second})
-    told = cut(keyed.select(_nodes(column(docs, text), words).alias("s"), column(docs, doc_id).alias("id"),
-                            F.col(id_key).alias("k1"), F.col(text_key).alias("k2"))
-               .select("s.node", "s.n", "id", "k1", "k2"), "sets")
-    roots = _roots(told, docs.select(column(docs, text).alias("text")), words, percent)
+    told = cut(keyed.select(_nodes(column(docs, text), words).alias("s"),
+                            simhash.fingerprint_column(column(docs, text), words).alias("fp"),
+                            column(docs, doc_id).alias("id"), F.col(id_key).alias("k1"), F.col(text_key).alias("k2"))
+               .select("s.node", "s.n", "fp", "id", "k1", "k2"), "sets")
+    roots = _roots(told, docs.select(column(docs, text).alias("text")), words, percent,
+                   _simhash_links(told, distance))
     stays = (
         told.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2")).alias("m"))

@@ -98,3 +98,20 @@ def test_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet' WHERE doc_id < 300")
     frame = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300")
     assert got(frame) == Counter(con.execute(ORACLES["op11_jaccard_join"]).fetchall())
+
+
+def test_pipeline_takes_simhash_links_first(spark, monkeypatch):
+    """Fingerprints find candidates, the sets decide: alike but for tails of many words is apart."""
+    import corpus_pipeline
+
+    found, own = [], jaccard.simhash.links
+    monkeypatch.setattr(jaccard.simhash, "links", lambda *call: found.append(own(*call)) or found[-1])
+    rng = random.Random(5)
+    body = " ".join([" ".join(f"b{i}" for i in range(21))] * 50)
+    tails = [" ".join(f"t{rng.random()}" for _ in range(30)) for _ in range(2)]
+    prose = [f"w{rng.randrange(900)}" for _ in range(400)]
+    rows = [(1, f"{body} {tails[0]}"), (2, f"{body} {tails[1]}"), (3, " ".join(prose)), (4, " ".join(prose + ["end"])),
+            (5, " ".join(prose[:350])), (6, ""), (7, None), (8, " ".join(prose[:200]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 2, 3, 6, 8}
+    assert found
