@@ -225,3 +225,24 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
             search(term, documents, versions, clauses)))
         assert found == wanted, term
     assert search_index.term_grams("a%fir_door") == ["doo", "fir", "oor"]
+
+
+def test_postings_take_the_grams_of_a_clause_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = ["Fire doors", "aaaa", "a😀bc d", "😀😀😀", "x\ny", "ab", "", None, "Straße ÉÀÜ"]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", seen("t").alias("content"), *[
+        F.lit(None).cast("string").alias(c) for c in ("title", "section", "clause_number")])
+    path = str(tmp_path / "postings")
+    search_index.write_postings(rows, path)
+    found = sorted((r["gram"], r["id"]) for r in spark.read.parquet(path).collect())
+    lows = [(i, t.lower()) for i, t in enumerate(texts) if t]
+    assert found == sorted({(t[k:k + 3], i) for i, t in lows for k in range(len(t) - 2)})
+    assert read.value == len(texts)
