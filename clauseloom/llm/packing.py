@@ -72,17 +72,18 @@ def vector_best_fit(lengths: np.ndarray, capacity: int, documents: int | None =
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, leading: bool, end_id: int, capacity: int,
-                 doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+                 doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, **bounds: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): whole texts as pieces of ids.
 
     A document is its ids and the end id; only one longer than ``capacity`` is cut.
+    ``bounds`` tell what the encoder of a worker may hold (see ``word_encoder``).
     """
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
              ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(kinds)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer, leading)
+        encoder = word_encoder(tokenizer, leading, **bounds)
         for batch in batches:
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):

@@ -10,7 +10,7 @@ applied to every whole text in the tasks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +73,10 @@ class ByteNet:
         pooled = np.maximum(answers + self.p["shift"], 0)
         return 1 / (1 + np.exp(-np.clip(pooled @ self.p["weights"] + self.p["bias"][0], -30, 30).astype(np.float64)))
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | bytes | None) -> float:
         """Rounded, so that the order of sums in a linear algebra library cannot show."""
-        return round(float(self._unit(self.strongest(_bytes(text))[0])), 6)
+        data = text if isinstance(text, bytes) else _bytes(text)
+        return round(float(self._unit(self.strongest(data)[0])), 6)
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         found = [self.strongest(t) for t in texts]
@@ -154,12 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score_column(net: ByteNet, text: Column) -> Column:
-    """The probability that a document is good; null is scored as an empty text."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([net.score(t) for t in texts], dtype="float64")
+    """The probability that a document is good; null is scored as an empty text.
 
-    return scored(F.coalesce(text, F.lit("")))
+    A worker holds a batch as it came and one text at a time, as the bytes that are scored.
+    """
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array((net.score(t.as_py()) for t in texts), pa.float64(), size=len(texts))
+
+    return scored(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -50,23 +50,25 @@ def _shown(words: list[str]) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str, leading: bool) -> WordEncoder:
+def word_encoder(path: str, leading: bool, words: int = _TABLE, together: int = _TEXTS) -> WordEncoder:
     """One per worker process, so that tasks after the first find most words encoded."""
-    return WordEncoder(path, leading)
+    return WordEncoder(path, leading, words, together)
 
 
 class WordEncoder:
     """Encodes Arrow arrays of texts, and remembers a bounded number of words.
 
     ``leading`` tells that the space before a word belongs to it (byte-level vocabularies);
-    otherwise white space is dropped and case is folded.
+    otherwise white space is dropped and case is folded.  ``words`` are remembered at most,
+    and ``together`` texts taken at once: what a worker holds, never what comes out.
     """
 
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, words: int = _TABLE, together: int = _TEXTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.leading = Tokenizer.from_file(path), leading
+        self.words, self.together = words, together
         self.model = self.tokenizer.model
         self._forget()
 
@@ -91,7 +93,7 @@ class WordEncoder:
 
     def _known(self, words: list[str], simple: list[bool]) -> np.ndarray:
         """Places of the words in the table, new ones encoded first."""
-        if len(self.table) + len(words) > _TABLE:
+        if len(self.table) + len(words) > self.words:
             self._forget()
         fresh = {w: s for w, s in zip(words, simple) if w not in self.table}
         if fresh:
@@ -108,8 +110,8 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array):
         """The ids of each text, as arrays, in order."""
-        for at in range(0, len(texts), _TEXTS):
-            yield from self._some(texts.slice(at, _TEXTS))
+        for at in range(0, len(texts), self.together):
+            yield from self._some(texts.slice(at, self.together))
 
     def _some(self, texts: pa.Array):
         texts = pc.fill_null(texts.cast(pa.string()), "")

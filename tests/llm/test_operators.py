@@ -737,3 +737,19 @@ def test_exact(docs, given, no_docs, block, digests):
     suffix.repeat_digests, simhash.near_duplicates, jaccard.keep_one, lines.line_dedup, mixing.mixed_documents])
 def test_empty_tables(no_docs, operator):
     assert operator(no_docs).count() == 0
+
+
+def test_a_bounded_encoder_gives_the_same_ids_and_remembers_no_more():
+    import pyarrow as pa
+
+    from clauseloom.llm.tokens import WordEncoder
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = pa.array([" ".join(f"word{i % 7}x{i}" for i in range(k, k + 20)) for k in range(0, 400, 10)])
+    small = WordEncoder(path, False, words=60, together=2)
+    assert [a.tolist() for a in small(texts)] == [a.tolist() for a in WordEncoder(path, False)(texts)]
+    assert len(small.table) <= 60
+
+
+def test_quality_scores_the_bytes_of_a_text():
+    net = quality.ByteNet.start(3)
+    assert net.score("naïve texts".encode()) == net.score("naïve texts")
