@@ -91,3 +91,17 @@ def test_model_encoder_hook(spark):
     rows = embed.encode_frame(frame, ["id"], F.col("t"), embed.batch_model(make_predict)).collect()
     assert {r["id"] for r in rows} == {1, 2}
     assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-6 for r in rows)
+
+
+def test_normalised_texts_come_back_a_few_at_a_time(spark):
+    import unicodedata
+
+    import pyarrow as pa
+
+    texts = ["ﬁre ² ½ oü", None, "plain", "", "é é Ａ", "한글 ㈱"] * 200
+    wanted = [t if t is None else unicodedata.normalize("NFC", unicodedata.normalize("NFKD", t)) for t in texts]
+    parts = list(clean._recompose.func(iter([pa.array(texts), pa.array(["ﬁ"])])))
+    assert max(len(p) for p in parts) <= clean._TOGETHER
+    assert [t for p in parts for t in p.to_pylist()] == wanted + ["fi"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(2)
+    assert [r["v"] for r in frame.select("i", clean.normalised(F.col("t")).alias("v")).orderBy("i").collect()] == wanted
