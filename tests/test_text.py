@@ -105,3 +105,43 @@ def test_normalised_texts_come_back_a_few_at_a_time(spark):
     assert [t for p in parts for t in p.to_pylist()] == wanted + ["fi"]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(2)
     assert [r["v"] for r in frame.select("i", clean.normalised(F.col("t")).alias("v")).orderBy("i").collect()] == wanted
+
+
+def test_weighted_terms_of_repeated_null_and_wordless_rows(spark, monkeypatch):
+    """Common terms met where the row lies and rare ones by a shuffle give what plain sums give."""
+    import hashlib
+    import math
+
+    monkeypatch.setattr(embed, "COMMON_WEIGHT", 1.0)
+    rows = [(1, 0, "the cat, the dog"), (1, 0, "the cat, the dog"), (1, 1, ""), (2, 0, None), (None, 0, "the cat"),
+            (3, 0, "the odd bird the unknown")]
+    weights = {"the": 0.25, "cat": 1.5, "dog": 2.0, "odd": 3.0, ",": 0.5, "bird": 1.0 / 3}
+    frame = spark.createDataFrame(rows, "k int, part int, chunk string")
+    known = spark.createDataFrame(list(weights.items()), "term string, weight double")
+    plan = embed.weighted_terms(known, 8)(frame)
+    got = sorted(((r["k"], r["part"]), [round(x, 12) for x in r["vector"]]) for r in plan.na.fill(-1, ["k"]).collect())
+    place = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8 for t in weights}
+    wanted = []
+    for k, part, text in rows:
+        x = [0.0] * 8
+        for t in (text or "").replace(",", " ,").split() * (k is not None):
+            if t in weights:
+                x[place[t]] += weights[t]
+        n = math.sqrt(sum(v * v for v in x)) or 1.0
+        wanted.append(((-1 if k is None else k, part), [round(v / n, 12) for v in x]))
+    assert got == sorted(wanted)
+    passed = _plan_of_the_pass(frame, known)
+    assert "BroadcastHashJoin" in passed
+    assert passed.count("Exchange hashpartitioning") == passed.count("REPARTITION_BY_NUM") == 1
+
+
+def _plan_of_the_pass(frame, known):
+    """The plan of the one pass over the terms of all rows, as written by ``cut``."""
+    seen = []
+    plain = embed.cut
+    try:
+        embed.cut = lambda f: (seen.append(f._jdf.queryExecution().executedPlan().toString()), plain(f))[1]
+        embed.weighted_terms(known, 8)(frame)
+    finally:
+        embed.cut = plain
+    return seen[1]
