@@ -35,6 +35,8 @@ from clauseloom.llm.store import column, cut, fresh, row_key
 SEED = 42
 #: Shingles that a task gathers before it deals them out.
 GATHER = 1 << 19
+#: Nodes whose shared shingles a task unpacks together.
+TOGETHER = 64
 #: Shingles in a block of nodes, on average; a longer text is a block of its own.
 BLOCK = 1 << 15
 ORDERS = 3
@@ -78,10 +80,11 @@ def _node(found: np.ndarray) -> int:
 
 
 def _nodes(text: Column, words: int) -> Column:
-    @F.pandas_udf("node long, n long")
-    def named(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(_node(s), len(s)) for s in (shingles(t, words) for t in texts)],
-                            columns=["node", "n"]).astype("int64")
+    @F.arrow_udf("node long, n long")
+    def named(texts: pa.Array) -> pa.Array:
+        sets = (shingles(t.as_py(), words) for t in texts)
+        node, n = np.array([(_node(s), len(s)) for s in sets], dtype=np.int64).reshape(-1, 2).T
+        return pa.StructArray.from_arrays([pa.array(node), pa.array(n)], names=["node", "n"])
 
     return named(text)
 
@@ -144,9 +147,10 @@ def _ranked(h: np.ndarray, df: np.ndarray, order: int) -> np.ndarray:
 def _prefixes(percent: int):
     """Adds to each node its central measure and its prefix in each order (shared part)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few nodes at a time: their shingles as Python numbers take ten times a batch's bytes
+        for some in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
             rows = []
-            for row in batch.to_pylist():
+            for row in some.to_pylist():
                 h = np.array(row["h"], dtype=np.int64).view(np.uint64)
                 df = np.array(row["df"], dtype=np.int64)
                 by = np.argsort(h)

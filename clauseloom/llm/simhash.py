@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -54,10 +53,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprint_column(text: Column, words: int = 3) -> Column:
     """The fingerprint as a signed long."""
-    @F.pandas_udf("long")
-    def hashed(texts: pd.Series) -> pd.Series:
-        out = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
-        return pd.Series(out.view(np.int64))
+    @F.arrow_udf("long")
+    def hashed(texts: pa.Array) -> pa.Array:
+        out = np.array([fingerprint(t.as_py(), words) for t in texts], dtype=np.uint64)
+        return pa.array(out.view(np.int64))
 
     return hashed(F.coalesce(text, F.lit("")))
 

@@ -115,3 +115,17 @@ def test_pipeline_takes_simhash_links_first(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 2, 3, 6, 8}
     assert found
+
+
+def test_prefixes_are_taken_of_a_few_nodes_at_a_time():
+    import pyarrow as pa
+
+    from clauseloom.llm import jaccard
+
+    rows = [{"node": i, "n": 40, "h": [7 * j - i for j in range(38)], "df": [2 + j % 5 for j in range(38)]} for i in range(300)]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+        ("node", pa.int64()), ("n", pa.int64()), ("h", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))]))
+    out = list(jaccard._prefixes(80)(iter([batch])))
+    assert max(b.num_rows for b in out) <= jaccard.TOGETHER
+    singly = [next(jaccard._prefixes(80)(iter([batch.slice(i, 1)]))).to_pylist()[0] for i in range(300)]
+    assert [r for b in out for r in b.to_pylist()] == singly
