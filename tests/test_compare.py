@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clauseloom import fixed
 from clauseloom.functions import diff, vectors
 from clauseloom.operators import align, redline, report
+from clauseloom.operators.positions import numbered
 from clauseloom.plans import compare
 
 
@@ -300,3 +301,39 @@ def test_type_toggle():
         t for t in fixed.CHANGE_TYPES if t != "Added")
     assert report.toggle_types(("Removed",), ("Added",)) == ()
     assert report.toggle_types(("Removed",), ()) == ()
+
+
+def test_likeness_moves_a_set_once_and_equals_the_pairs_one_by_one(spark):
+    texts = {1: ["a b c", "", "c d", "a a b", "x"], 2: ["b c d", "c", None, "a b", "y x", "a"]}
+    sides = spark.createDataFrame(
+        [(c, s, i, t, len(ts)) for c in (1, 2) for s, ts in texts.items() for i, t in enumerate(ts)],
+        "comparison_id long, side int, idx int, content string, version_size int")
+    pairs = spark.createDataFrame(
+        [(c, i, j, 0.5) for c in (1, 2) for i in range(5) for j in range(6) if (i + j) % 2 or c == 2],
+        "comparison_id long, index_v1 int, index_v2 int, cosine double")
+
+    def wanted(i, j):
+        a, b = [set((texts[s][k] or "").split()) for s, k in ((1, i), (2, j))]
+        return (len(a & b) / len(a | b) if a and b else 0.0, 1.0 - abs(i / 4 - j / 5))
+
+    for top_k, cell in ((12, 256), (12, 2), (1, 2)):  # one cell, cells whole, clause by clause
+        found = align.with_likeness(pairs, sides, top_k, cell).collect()
+        assert len(found) == pairs.count()
+        for r in found:
+            assert (r.lexical, r.positional) == pytest.approx(wanted(r.index_v1, r.index_v2))
+
+
+def test_positions_leave_the_rows_where_they_lie(spark):
+    frame = spark.createDataFrame([(i % 3, i, "t" * 50) for i in range(60)], "v long, o long, t string")
+    plan = numbered(frame, ["v"], ["o"], "idx")._jdf.queryExecution().executedPlan().toString()
+    # rows and stretches are both read as written
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "HashAggregate" not in plan
+
+
+def test_export_sorts_written_rows(spark):
+    frame = sides(spark, [(str(i), f"a {i}") for i in range(9)], [(str(i), "a b") for i in range(9)])
+    rows = report.export_rows(compare.identifier_rows(frame), "Old", "New")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # a range sort runs what is below it twice
+    assert "Sort" in plan and "redline_udf" not in plan
+    assert rows.count() == 9 and "row_index" not in rows.columns
