@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogue.base import documents, query
 from clauseloom import fixed
+from clauseloom.functions.text import let
 from clauseloom.operators import register
+from clauseloom.session import fan_out
 
 
 def interleaved_booklets(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,20 +19,26 @@ def interleaved_booklets(spark: SparkSession, folder: str) -> DataFrame:
     def written(line, i):
         turn = F.floor(i / 7) % 3
         k, letter = (turn + 1).cast("string"), F.char(65 + turn)
-        prose = F.btrim(F.regexp_replace(F.lower(line), "[^a-z]+", " "))
-        instructions = [
-            F.concat(F.lit(" Paragraph "), k, F.lit(".4, delete the second sentence.")),
-            F.concat(F.lit(" Replace Tables "), letter, F.lit("1, "), letter, F.lit("2 as follows.")),
-            F.concat(F.lit(" Delete paragraphs B1 to B6"), k, F.lit(".")),
-            F.concat(F.lit(" In Appendix "), letter, F.lit(" where it says "), prose, F.lit(" today, add\nthe following.")),
-            F.concat(F.lit(" After paragraph "), k, F.lit(".7, insert the following.")),
-            F.concat(F.lit(" Amend Section "), k, F.lit(" to read as follows.")),
-            F.lit("")]
-        return F.concat(F.lit("Note "), prose, F.lit("."), F.get(F.array(*instructions), (i % 7).cast("int")))
+
+        def noted(prose):
+            instructions = [
+                F.concat(F.lit(" Paragraph "), k, F.lit(".4, delete the second sentence.")),
+                F.concat(F.lit(" Replace Tables "), letter, F.lit("1, "), letter, F.lit("2 as follows.")),
+                F.concat(F.lit(" Delete paragraphs B1 to B6"), k, F.lit(".")),
+                F.concat(F.lit(" In Appendix "), letter, F.lit(" where it says "), prose, F.lit(" today, add\nthe following.")),
+                F.concat(F.lit(" After paragraph "), k, F.lit(".7, insert the following.")),
+                F.concat(F.lit(" Amend Section "), k, F.lit(" to read as follows."))]
+            chosen = F
+            for t, instruction in enumerate(instructions):
+                chosen = chosen.when(i % 7 == t, instruction)
+            return F.concat(F.lit("Note "), prose, F.lit("."), chosen.otherwise(F.lit("")))
+
+        return let(F.btrim(F.regexp_replace(F.lower(line), "[^a-z]+", " ")), noted)
 
     body = F.array_join(F.transform(F.split("text", "\n"), written), "\n")
     heading = F.when(F.col("doc_id") % 2 == 0, "Volume 1 – Dwellings\nList of amendments\n").otherwise("")
-    return documents(spark, folder, "doc_id", "text").select(
+    # long and short texts in turn to all tasks, however the files are cut
+    return fan_out(documents(spark, folder, "doc_id", "text")).select(
         F.col("doc_id").alias("booklet"), F.concat(heading, body).alias("text"))
 
 

@@ -84,3 +84,13 @@ def test_section_of(spark):
     assert [r["s"] for r in frame.collect()] == [
         "Section 3", "Requirements", "Requirements", "Appendix", "Table", "Diagram", "Section 4",
         "Other"]
+
+
+def test_instructions_are_read_once_and_ranges_keep_their_prefix(spark):
+    text = "List of amendments\nDelete paragraphs B1 to B3. Nothing here. In Table A1, insert this. After paragraph 4.2, add that."
+    found = register.parse_booklets(spark.createDataFrame([(1, text)], "booklet long, text string"))
+    rows = {(r.reference, r.operation, r.position._sentence, r.position._reference) for r in found.collect()}
+    assert rows == {("B1", "delete", 0, 0), ("B2", "delete", 0, 1), ("B3", "delete", 0, 2),
+                    ("Table A1", "insert", 2, 0), ("4.2", "insert", 3, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(replace|delete|insert|add|amend|substitute)") == 2  # of two patterns, each once
