@@ -145,3 +145,17 @@ def _plan_of_the_pass(frame, known):
     finally:
         embed.cut = plain
     return seen[1]
+
+
+def test_occurrences_look_before_they_replace(spark):
+    frame = spark.createDataFrame([("aaa ab", "aa"), ("xyz", "aa"), (None, "aa"), ("", "aa")], "t string, p string")
+    counted = frame.select(tx.occurrences(F.col("t"), F.col("p")).alias("n"))
+    assert [r.n for r in counted.collect()] == [1, 0, None, 0]
+    assert "Contains" in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexical_similarity_of_equal_texts(spark):
+    texts = [("a B a", "a B a"), ("", ""), (" \n", " \n"), ("a b", "b c"), (None, "a"), ("A", "a")]
+    frame = spark.createDataFrame(texts, "a string, b string")
+    found = [r[0] for r in frame.select(tx.lexical_similarity(F.col("a"), F.col("b"))).collect()]
+    assert found[:4] == [1.0, 0.0, 0.0, 1 / 3] and found[5] == 1.0
