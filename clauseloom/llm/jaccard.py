@@ -270,17 +270,35 @@ def _stars(single: DataFrame, percent: int) -> DataFrame:
     return _met(stars, centre.select(*around.columns).unionByName(around), percent)
 
 
+def near_links(nodes: DataFrame, percent: int, near: DataFrame) -> DataFrame:
+    """(a, b): verified links that span what the candidates connect.
+
+    Any two nodes of a group that the links ``near`` make are candidates.  A group's nodes meet
+    its least node first; then, where a group is still apart, each two of its blocks meet.
+    """
+    grouped = cut(nodes.drop("central").join(
+        components(near).withColumnRenamed("root", "group"), "node"), "near")
+    homes = grouped.groupBy("group").agg(F.min("node").alias("home"))
+    known = _stars(grouped.join(homes, "group").withColumn("root", F.col("node")), percent)
+    named = grouped.join(components(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocked = cut(_slots(named, "group"), "near")
+    kinds = cut(blocked.groupBy("group", "block").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")), "near")
+    one, two = (kinds.select("group", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")))
+                for side in ("one", "two"))
+    pairs = one.join(two, "group").where(
+        "block_one <= block_two and not (low_one = high_one and low_two = high_two and low_one = low_two)")
+    pairs = cut(pairs.select(F.col("block_one").alias("one"), F.col("block_two").alias("two")), "pairs")
+    return known.union(_met(pairs, blocked, percent))
+
+
 def links(nodes: DataFrame, percent: int, near: DataFrame | None = None) -> DataFrame:
     """(a, b): links that span every component of the nodes.
 
-    Groups that links ``near`` from elsewhere make are verified first; what that connects is
-    not compared again.
+    Candidates ``near`` from elsewhere are verified first; what they connect is not compared
+    again.
     """
-    known = None
-    if near is not None:
-        grouped = cut(nodes.drop("central").join(components(near), "node"), "near")
-        homes = grouped.groupBy("root").agg(F.min("node").alias("home"))
-        known = _stars(grouped.join(homes, "root").withColumn("root", F.col("node")), percent)
+    known = None if near is None else near_links(nodes, percent, near)
     postings = cut(nodes.select("node", "central", F.posexplode("prefixes").alias("sort", "p"))
                    .select("node", "central", "sort", F.explode("p").alias("h")), "postings")
     # the most central of those that a node shares the first order's prefix with
@@ -363,8 +381,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, distance: int =
     """The documents less near-duplicates: of each component the one with the least id stays.
 
     SimHash comes first: documents whose fingerprints over shingles of ``words`` words differ in
-    at most ``distance`` bits are candidates, and each is checked by its set of shingles.  The
-    exact join then finds the links that fingerprints cannot tell, among what is still apart.
+    at most ``distance`` bits, by themselves or through others, are candidates; all pairs of
+    them that are still apart are checked by their sets of shingles, not only those with one
+    head.  The exact join then finds the links that fingerprints cannot tell, among what is
+    still apart.
     Components are those of ``jaccard_components``, but texts without words are one.  All
     columns are kept.  Ties in the id are broken by the text's hash; of rows alike in both
     one stays.  Null ids come last.

@@ -129,3 +129,18 @@ def test_prefixes_are_taken_of_a_few_nodes_at_a_time():
     assert max(b.num_rows for b in out) <= jaccard.TOGETHER
     singly = [next(jaccard._prefixes(80)(iter([batch.slice(i, 1)]))).to_pylist()[0] for i in range(300)]
     assert [r for b in out for r in b.to_pylist()] == singly
+
+
+def test_all_near_candidates_are_checked(spark):
+    """Candidates of one group are checked among themselves, not only against its least node."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(6):
+        own = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [own, own[:-1] + ["other"]]
+    node = [jaccard._node(jaccard.shingles(" ".join(t), 5)) for t in texts]
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "text string")
+    sizes = docs.select(jaccard._nodes(docs["text"], 5).alias("s")).select("s.*")
+    chain = spark.createDataFrame(list(zip(node, node[1:])), "a long, b long")
+    found = jaccard.near_links(jaccard.candidate_nodes(docs, sizes, 5, 80), 80, chain).collect()
+    assert {frozenset(r) for r in found} == {frozenset(node[i:i + 2]) for i in range(0, 12, 2)}
