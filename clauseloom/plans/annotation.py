@@ -37,6 +37,20 @@ def draw(rows: DataFrame, size: int = fixed.SAMPLE_SIZE,
         "_draw", "_rank", "_spare", "_place")
 
 
+def to_label(rows: DataFrame) -> DataFrame:
+    """What a draw, a sheet and its key read of report rows: both texts, no marked ones.
+
+    A draw moves its rows twice, so marked texts would be most of what is moved.
+    """
+    def side(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct(
+            *[F.col(f"{name}.{field}").alias(field) for field in ("clause_number", "section", "content")])).alias(name)
+
+    return rows.select(
+        "comparison_id", "row_index", "change_type", "similarity_score", "match_score", "match_method",
+        side("v1"), side("v2"), F.struct("redline.word_change_ratio").alias("redline"))
+
+
 def sheet(drawn: DataFrame, limit: int | None = None) -> DataFrame:
     """The texts and empty label columns, nothing the system said; whole texts unless limited."""
     blank, none = F.lit(""), F.lit("")
