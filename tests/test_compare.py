@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue import fixtures
 from clauseloom import fixed
 from clauseloom.functions import diff, vectors
-from clauseloom.operators import align, redline, report
+from clauseloom.operators import align, positions, redline, report
+from clauseloom.operators.embed import letter_profile
 from clauseloom.operators.positions import numbered
-from clauseloom.plans import compare
+from clauseloom.plans import annotation, compare
 
 
 def plain_redline_counts(a, b):
@@ -337,3 +339,42 @@ def test_export_sorts_written_rows(spark):
     # a range sort runs what is below it twice
     assert "Sort" in plan and "redline_udf" not in plan
     assert rows.count() == 9 and "row_index" not in rows.columns
+
+
+def small_sides(spark):
+    rows = [(1, side, n, n, 10, f"{n % 3}.{n}", "Scope", "Section 1", f"Clause {n} of side {side % 2 + n % 2} says so.", n)
+            for side in (1, 2) for n in range(10) if n != 3 * side]
+    return spark.createDataFrame(rows, "comparison_id long, side int, idx long, id long, version_size long, "
+                                       "clause_number string, title string, section string, content string, ordinal int")
+
+
+def test_vectors_meet_pairs_before_texts(spark, monkeypatch):
+    """Similarity is known when the texts come, so these need not move to the vectors."""
+    brought, own = [], report.attach_sides
+    monkeypatch.setattr(report, "attach_sides", lambda pairs, *rest: brought.append(pairs.columns) or own(pairs, *rest))
+    encoder = lambda chunks: chunks.withColumn("vector", letter_profile(F.col("chunk")))
+    found = compare.identifier_rows(small_sides(spark), encoder, in_row=False)
+    plain = compare.identifier_rows(small_sides(spark), letter_profile)
+    assert "similarity" in brought[0] and "similarity" not in brought[1]
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() == 10
+
+
+def test_rows_to_label_carry_no_marked_texts(spark):
+    rows = compare.identifier_rows(small_sides(spark), letter_profile)
+    drawn = annotation.to_label(rows)
+    assert drawn.schema["redline"].dataType.names == ["word_change_ratio"]
+    for part in (annotation.sheet, annotation.answer_key):
+        whole, less = (part(annotation.draw(f, size=6)) for f in (rows, drawn))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, less.collect())) and less.count() == 6
+
+
+def test_positioned_texts_are_written_once_and_packed(spark, monkeypatch, tmp_path):
+    written = []
+    for module in (positions, fixtures):
+        own = module.cut
+        monkeypatch.setattr(module, "cut", lambda frame, own=own: written.append((frame.columns, own(frame))) or written[-1][1])
+    spark.createDataFrame([(d, f"Text {d}.") for d in range(120)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    assert fixtures.positioned_sides(spark, str(tmp_path)).count() == 192
+    texts = [copy for columns, copy in written if "content" in columns]
+    assert len(texts) == 1 and all(".zstd." in name for name in texts[0].inputFiles())
