@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from clauseloom import grammar
 from clauseloom.functions import markup
 from clauseloom.functions import text as tx
 from clauseloom.operators import clean, embed
@@ -159,3 +162,32 @@ def test_lexical_similarity_of_equal_texts(spark):
     frame = spark.createDataFrame(texts, "a string, b string")
     found = [r[0] for r in frame.select(tx.lexical_similarity(F.col("a"), F.col("b"))).collect()]
     assert found[:4] == [1.0, 0.0, 0.0, 1 / 3] and found[5] == 1.0
+
+
+def test_quick_classes_hold_the_same_characters(spark):
+    """Classes that tell letters by one range match what the plain classes match, over all of the plane."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0xFFFE)])) + "😀"
+    control = grammar.CONTROL[1:-1]
+    pairs = [(f"[{tx.SPACE_CLASS}]", tx.quick(tx.SPACE_CLASS)), (f"[{tx.INLINE_CLASS}]", tx.quick(tx.INLINE_CLASS)),
+             (f"[{tx.INLINE_CLASS[1:]}]", tx.quick(tx.INLINE_CLASS[1:], r"\x00-\x1F\x7F-　")),
+             (f"[{tx.EXOTIC_CLASS}{control}]", clean._UNPLAIN)]
+    frame = spark.createDataFrame([(every,)], "t string")
+    for plain, quick in pairs:
+        a, b = frame.select(*[F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)) for p in (plain, quick)]).first()
+        assert a == b and len(a) > 20
+    assert clean._UNPLAIN.startswith("[[")
+
+
+def test_squeezing_looks_first(spark):
+    """Patterns that are tried only where they can match leave what they left when always tried."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices([" ", "  ", "\t", "\n", "\r", "a", "fi", "ff", "ffl", "staf", "7", "é", "."], k=n % 60)) for n in range(900)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")
+    pairs = [(tx.strip(F.regexp_replace(plain, r" (?=\n)", "")), clean.collapsed(t)),
+             (F.regexp_replace(t, grammar.SPLIT_LIGATURE, "$1"), clean.rejoined(t)),
+             (t.rlike(r"[^\x00-\x7F]"), clean._foreign(t)),
+             ((t != "") & (t.rlike(clean._FURNITURE) | (F.length(t) < 3) & ~t.rlike(r"\p{L}")), clean.is_furniture(t))]
+    for was, now in pairs:
+        assert frame.filter(~was.eqNullSafe(now)).count() == 0
