@@ -246,3 +246,17 @@ def test_postings_take_the_grams_of_a_clause_once(spark, tmp_path):
     lows = [(i, t.lower()) for i, t in enumerate(texts) if t]
     assert found == sorted({(t[k:k + 3], i) for i, t in lows for k in range(len(t) - 2)})
     assert read.value == len(texts)
+
+
+def test_only_the_clause_table_moves_clauses(spark):
+    """Documents and versions of parsed rows are aggregated without the clause arrays."""
+    text = "1.1 The first paragraph is long enough to be kept as a clause of its own here, as all can see at once.\n"
+    rows = [(f"Guide {n % 3}", "v1", "EW", text * (n + 1)) for n in range(6)]
+    parsed = split_rejects(parse_submissions(spark.createDataFrame(
+        rows, "document_name string, version_label string, country_code string, text string").withColumn(
+        "uploaded_at", F.lit("2024-01-01").cast("timestamp"))))[0]
+    documents, versions, clauses = library_rows(parsed.localCheckpoint())
+    moves = [any("clauses" in c or "c#" in c for c in f._jdf.queryExecution().optimizedPlan().toString().splitlines()
+                 if "Aggregate" in c) for f in (documents, versions, clauses)]
+    assert moves == [False, False, True]
+    assert documents.count() == versions.count() == 3 and clauses.count() >= 3
